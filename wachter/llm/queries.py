@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wachter.llm import token_ids
+from wachter.llm import token_ids, toxicity
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids.digest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_ids.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_token_id_orc": op10_token_id_orc}
+QUERIES = {"op4_toxicity_ftrl": op4_toxicity_ftrl, "op10_token_id_orc": op10_token_id_orc}
 ORACLE_SQL: dict[str, str] = {}
