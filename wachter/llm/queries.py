@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wachter.llm import token_ids, toxicity
+from wachter.llm import jaccard_join, token_ids, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,9 +15,13 @@ def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.digest(read(spark, sf_dir, "documents"))
+
+
 def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_toxicity_ftrl": op4_toxicity_ftrl, "op10_token_id_orc": op10_token_id_orc}
+QUERIES = {"op4_toxicity_ftrl": op4_toxicity_ftrl, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_token_id_orc": op10_token_id_orc}
 ORACLE_SQL: dict[str, str] = {}
