@@ -171,14 +171,13 @@ def classes(documents: DataFrame, text_col: str = "text", n: int = N, threshold:
     smallest id), linked (documents of linked other classes), component (its smallest class), component_id (smallest doc_id))."""
     bands, rows = bands_for(threshold, recall)
     sig = materialise(signatures(documents, text_col, n, bands, rows, ["doc_id"]), "jaccard-signatures")
-    ids = sig.select("doc_id", "fp").where("fp is not null").groupBy("fp", "doc_id").count()
-    own = materialise(ids.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.sum("count").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "count"))).alias("_low")).select("fp", "class_id", "n", F.coalesce("_low.count", F.lit(2)).alias("at_least")), "jaccard-classes")
-    entries = sig.where("fp is not null").select("fp", "fp1", F.explode("_bands").alias("band"))
+    ids = sig.select("doc_id", "fp", "fp1").where("fp is not null").groupBy("fp", "fp1", "doc_id").count()
+    own = materialise(ids.groupBy("fp", "fp1").agg(F.min("doc_id").alias("class_id"), F.sum("count").alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "count"))).alias("_low")).select("fp", "fp1", "class_id", "n", F.coalesce("_low.count", F.lit(2)).alias("at_least")), "jaccard-classes")
+    entries = sig.where("fp is not null").select("fp", F.explode("_bands").alias("band"))
     buckets = entries.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z").drop("z")
-    edges = materialise(entries.join(buckets, "band").where("a < fp").select("a", F.col("fp").alias("b"), "fp1").distinct(), "jaccard-candidates")
+    edges = materialise(entries.join(buckets, "band").where("a < fp").select("a", F.col("fp").alias("b")).distinct(), "jaccard-candidates")
     groups = components(edges, "jaccard-groups")
-    found = groups.select(F.col("id").alias("fp"), F.col("component").alias("grp"), F.expr("cast(conv(hex(reverse(substring(id, 1, 8))), 16, -10) as long)").alias("fp1"))
-    members = materialise(found.join(own.select("fp", "n"), "fp"), "jaccard-members")
+    members = materialise(groups.select(F.col("id").alias("fp"), F.col("component").alias("grp")).join(own.select("fp", "fp1", "n"), "fp"), "jaccard-members")
     sets = _sets(documents, members, text_col, n).join(members.select("fp", "grp", "n"), "fp")
     cells = block_pairs(materialise(sets, "jaccard-sets"), "grp", "fp", block).groupBy("grp", "lo", "hi")
     links = materialise(cells.applyInArrow(_verify(threshold), "a binary, b binary, linked long"), "jaccard-links")
