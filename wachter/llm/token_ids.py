@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wachter.llm.common import prefix_sum, regroup, tasks, utf8, work_path
+from wachter.llm.common import materialise, prefix_sum, regroup, tasks, utf8, work_path
 
 END_ID = 2
-#: Tokenizers that one process keeps.
-_TOKENIZERS = 4
+#: Tokenizers that one process keeps, and pieces that it remembers for each (about 60 MB).
+_TOKENIZERS, MOST_PIECES = 2, 400_000
 
 
 @lru_cache(_TOKENIZERS)
@@ -49,6 +49,44 @@ def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(ok), len(raw))
 
 
+class Pieces:
+    """Ids of pieces. A process remembers the first of them that it meets, up to a bound, since most texts share them."""
+
+    def __init__(self, path: str, most: int = MOST_PIECES):
+        self.path, self.most, self.at = path, most, {}
+        self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        t, ids, sizes = tokenizer(self.path), [np.zeros(0, np.int32)], np.empty(len(words), np.int64)
+        for i in range(0, len(words), 20_000):
+            got = [e.ids for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            sizes[i : i + len(got)] = [len(x) for x in got]
+            ids.append(np.fromiter((y for x in got for y in x), np.int32, sum(map(len, got))))
+        return np.concatenate(ids), sizes
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, their number) of distinct words."""
+        where = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+        lost = np.flatnonzero(where < 0)
+        new = [words[i] for i in lost]
+        flat, size = self._new(new)
+        where[lost] = len(self.begin) + np.arange(len(lost))
+        begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        room = max(0, min(len(new), self.most - len(self.at)))
+        if room:
+            k = len(self.begin)
+            self.at.update(zip(new[:room], range(k, k + room), strict=True))
+            end = int(begin[k + room - 1] + size[k + room - 1])
+            self.flat, self.begin, self.size = flat[:end].copy(), begin[: k + room].copy(), size[: k + room].copy()
+        return flat, begin[where], size[where]
+
+
+@lru_cache(_TOKENIZERS)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and their number by text: equal to the tokenizer's own for each whole text, but each distinct
     piece between two cuts is encoded once a batch."""
@@ -59,13 +97,7 @@ def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
     coded = pieces.dictionary_encode()
     which = coded.indices.to_numpy()
-    words = coded.dictionary.cast(pa.large_string()).to_pylist()
-    t, ids, sizes = tokenizer(path), [], np.empty(len(words), np.int64)
-    for i in range(0, len(words), 20_000):
-        got = [e.ids for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-        sizes[i : i + len(got)] = [len(x) for x in got]
-        ids.append(np.fromiter((y for x in got for y in x), np.int32, sum(map(len, got))))
-    flat, begin = np.concatenate(ids), np.cumsum(sizes) - sizes
+    flat, begin, sizes = _pieces(path).encode(coded.dictionary.cast(pa.large_string()).to_pylist())
     n = sizes[which]
     out = flat[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -97,10 +129,11 @@ def encode(documents: DataFrame, path: str | None = None, end_id: int = END_ID,
 
 
 def write_orc(documents: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
-    """Encode and write in ascending id order (nulls first, ties by text), range by range: each file holds a range of ids, so that stripe and
+    """Encode and write in ascending id order (nulls first, ties by text_hash), range by range: each file holds a range of ids, so that stripe and
     row-group statistics and Bloom filters prune look-ups, and stripes are read in parallel."""
     spark = documents.sparkSession
-    ordered = documents.repartitionByRange(files or tasks(spark), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), text_col)
+    hashed = documents.withColumn("text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    ordered = hashed.repartitionByRange(files or tasks(spark), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "text_hash")
     (
         encode(ordered, path, end_id, id_col, text_col).write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.encoding.strategy", "COMPRESSION")
@@ -129,9 +162,9 @@ def crc32_of_ids(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> Dat
 
 def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read back from the files that write_orc wrote. A null doc_id comes first; repeated ids: in the
-    order of their texts; an empty table: no rows."""
+    order of text_hash, in the files as here; an empty table: no rows."""
     spark = documents.sparkSession
     out = work_path(spark, "token-ids")
     write_orc(documents.select("doc_id", "text"), out, path)
-    back = crc32_of_ids(read_orc(spark, out).select("doc_id", "ids", "n_tokens"))
-    return prefix_sum(back, ["doc_id", "n_tokens", "ids_crc32"], "n_tokens", "start").select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")
+    back = materialise(crc32_of_ids(read_orc(spark, out).select("doc_id", "text_hash", "ids", "n_tokens")), "token-digests")
+    return prefix_sum(back, ["doc_id", "text_hash"], "n_tokens", "start").select("doc_id", F.col("start").cast("long"), "n_tokens", "ids_crc32")
