@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: A token of the contracts: bytes other than space and 0x09 to 0x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 M1, M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLD = U64(0x9E3779B97F4A7C15)

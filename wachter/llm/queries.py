@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wachter.llm import jaccard_join, token_ids, toxicity
+from wachter.llm import decontaminate, jaccard_join, mixing, token_ids, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_mixing_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -19,9 +23,13 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(read(spark, sf_dir, "documents"))
 
 
+def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_toxicity_ftrl": op4_toxicity_ftrl, "op8_ngram_jaccard_join": op8_ngram_jaccard_join, "op10_token_id_orc": op10_token_id_orc}
+QUERIES = {f.__name__: f for f in (op3_mixing_cube, op4_toxicity_ftrl, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
 ORACLE_SQL: dict[str, str] = {}
