@@ -2,7 +2,8 @@
 
 Every document of a source is taken floor(rate) times or once more; the fractions are inclusion probabilities. The flight phase moves
 them along vectors of the null space of the balancing constraints (words and documents of the source), which keeps both totals exactly,
-until at most two per cell are left; cells are merged level by level, and only the last two of a source land at random.
+until at most two per cell are left; cells are merged level by level, and the last few of a source are the landing problem, solved by enumeration: the choice whose
+totals come nearest to what is left of the targets.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from wachter.llm.common import WORD, materialise
 MAX_REPEAT = 3
 #: Documents that one cell of the flight phase moves.
 CELL = 20_000
+#: Fractions that are left to the landing phase of a source; it looks at two to this power choices.
+LANDING = 12
 _EPS = 1e-9
 
 
@@ -45,16 +48,16 @@ def _steps(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     return room.min(1)
 
 
-def flight(p: np.ndarray, size: np.ndarray, count: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Moves triples of fractions, many at once, with sum(p * size) and sum(p * count) kept, until at most two are fractions."""
+def flight(p: np.ndarray, size: np.ndarray, count: np.ndarray, rng: np.random.Generator, left: int = 2) -> np.ndarray:
+    """Moves triples of fractions, many at once, with sum(p * size) and sum(p * count) kept, until at most so many (2 or more) are left."""
     p = p.astype(float).copy()
     size, count = size.astype(float), count.astype(float)
     while True:
         live = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-        if len(live) < 3:
+        if len(live) <= max(2, left):
             return p
         rng.shuffle(live)
-        t = live[: len(live) // 3 * 3].reshape(-1, 3)
+        t = live[: max(1, min(len(live) // 3, (len(live) - left) // 3)) * 3].reshape(-1, 3)
         s, c, q = size[t], count[t], p[t]
         u = np.stack([s[:, 1] * c[:, 2] - s[:, 2] * c[:, 1], s[:, 2] * c[:, 0] - s[:, 0] * c[:, 2], s[:, 0] * c[:, 1] - s[:, 1] * c[:, 0]], 1)
         flat = (u == 0).all(1)  # the constraints are parallel: two documents suffice
@@ -66,18 +69,15 @@ def flight(p: np.ndarray, size: np.ndarray, count: np.ndarray, rng: np.random.Ge
         p[t] = np.where(q < _EPS, 0.0, np.where(q > 1 - _EPS, 1.0, q))
 
 
-def land(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides the last fractions: two go on with the words kept, then one is drawn."""
+def land(p: np.ndarray, size: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Decides the last fractions, at most LANDING of them: nearest in words, then in documents."""
     p = p.copy()
     live = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
-    if len(live) == 2:
-        s = np.maximum(size[live].astype(float), 1.0)
-        u = np.array([[s[1], -s[0]]]) / s.max()
-        up, down = _steps(p[live][None], u)[0], _steps(p[live][None], -u)[0]
-        q = p[live] + (up if rng.random() * (up + down) < down else -down) * u[0]
-        p[live] = np.where(q < _EPS, 0.0, np.where(q > 1 - _EPS, 1.0, q))
-    for i in np.flatnonzero((p > _EPS) & (p < 1 - _EPS)):
-        p[i] = float(rng.random() < p[i])
+    if len(live):
+        choice = (np.arange(1 << len(live))[:, None] >> np.arange(len(live))) & 1
+        off = choice - p[live]
+        words, docs = np.abs(off @ size[live]), np.abs(off @ count[live])
+        p[live] = choice[np.lexsort((docs, np.round(words / max(1.0, size[live].max()), 3)))[0]]
     return np.round(p)
 
 
@@ -87,8 +87,9 @@ def _cell(seed: int):
         name = pdf["source"][0]
         rng = np.random.default_rng([seed, zlib.crc32(repr(name).encode()), int(pdf["_chunk"][0]), int(pdf["_level"][0])])
         size, count = (pdf["size"] * pdf["rows"]).to_numpy(), pdf["rows"].to_numpy()
-        p = flight(pdf["p"].to_numpy(), size, count, rng)
-        pdf["p"] = land(p, size, rng) if pdf["_chunks"][0] == 1 else p
+        last = pdf["_chunks"][0] == 1
+        p = flight(pdf["p"].to_numpy(), size, count, rng, LANDING if last else 2)
+        pdf["p"] = land(p, size, count) if last else p
         return pdf
 
     return run
