@@ -223,24 +223,16 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 60) ->
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-class Forest:
-    """Union-find over the rows of one task."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        if i == j:
-            return False
-        self.up[max(i, j)] = min(i, j)
-        return True
+def smallest_reachable(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric boolean matrix the smallest index that links reach."""
+    top = np.arange(len(link))
+    reach = link | np.eye(len(link), dtype=bool)
+    while True:
+        new = np.where(reach, top[None, :], len(link)).min(1)
+        new = new[new]
+        if (new == top).all():
+            return top
+        top = new
 
 
 def block_pairs(members: DataFrame, group: str, key: str, block: int) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import GOLD, M1, U64, Tokens, block_pairs, components, list_array, materialise, mix, regroup, release, shingle_hashes, unique_by_text
+from wachter.llm.common import GOLD, M1, U64, Tokens, block_pairs, components, list_array, materialise, mix, regroup, shingle_hashes, smallest_reachable, unique_by_text
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Classes in one block of a group; a cell holds two.
@@ -137,18 +137,6 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def smallest_reachable(link: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric boolean matrix the smallest index that links reach."""
-    top = np.arange(len(link))
-    reach = link | np.eye(len(link), dtype=bool)
-    while True:
-        new = np.where(reach, top[None, :], len(link)).min(1)
-        new = new[new]
-        if (new == top).all():
-            return top
-        top = new
-
-
 def _verify(threshold: float):
     def run(cell: pa.Table) -> pa.Table:
         fps, lo, hi = cell.column("fp").to_pylist(), cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()

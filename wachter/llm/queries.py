@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wachter.llm import decontaminate, jaccard_join, mixing, token_ids, toxicity
+from wachter.llm import decontaminate, embedding_neardup, jaccard_join, mixing, token_ids, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op4_toxicity_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_pivot_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_neardup.digest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.digest(read(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing_cube, op4_toxicity_ftrl, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
+QUERIES = {f.__name__: f for f in (op3_mixing_cube, op4_toxicity_ftrl, op5_pivot_neardup, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
 ORACLE_SQL: dict[str, str] = {}
