@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wachter.llm import decontaminate, embedding_neardup, jaccard_join, mixing, token_ids, toxicity
+from wachter.llm import decontaminate, embedding_neardup, jaccard_join, katz, mixing, token_ids, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.digest(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(read(spark, sf_dir, "documents"))
 
@@ -35,5 +39,5 @@ def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing_cube, op4_toxicity_ftrl, op5_pivot_neardup, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
+QUERIES = {f.__name__: f for f in (op1_katz_backoff, op3_mixing_cube, op4_toxicity_ftrl, op5_pivot_neardup, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
 ORACLE_SQL: dict[str, str] = {}
