@@ -260,8 +260,10 @@ class Model:
         self.sums.append(list(got))
         self.d.append(discounts(list(got)[: K + 1]))
         # a context is split only if it has more than limit tokens: at most 4 times the partitions' number, and the texts' start
-        rows = replies.where("block = -2").groupBy("ctx").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(_STATS))).orderBy("ctx").collect()
-        self.hot.append((np.array([r[0] for r in rows], np.int64).view(U64), np.array([list(r)[1:] for r in rows], float).reshape(len(rows), _STATS)))
+        rows = replies.where("block = -2").groupBy("ctx").agg(*(F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(_STATS))).collect()
+        keys = np.array([r[0] for r in rows], np.int64).view(U64)
+        by = np.argsort(keys)
+        self.hot.append((keys[by], np.array([list(r)[1:] for r in rows], float).reshape(len(rows), _STATS)[by]))
 
     def probabilities(self, b: Block, k: int, hot: np.ndarray, lower: np.ndarray, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(P_k, count) of the block's grams of order k."""
