@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done: between the rounds of a large
+    job, disks hold one round's."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -235,10 +243,22 @@ def smallest_reachable(link: np.ndarray) -> np.ndarray:
         top = new
 
 
+def forest(link: np.ndarray, home: np.ndarray) -> np.ndarray:
+    """For each row of a cell's links (symmetric, boolean) the row that it gets an edge to, itself for none. In a cell of two blocks only
+    the blocks' own components get edges, since their inner ones come from the blocks' own cells."""
+    top = smallest_reachable(link)
+    if (home == home[0]).all():
+        return top
+    inner = smallest_reachable(link & (home[:, None] == home[None, :]))
+    rows = np.arange(len(link))
+    return np.where(inner == rows, top, rows)
+
+
 def block_pairs(members: DataFrame, group: str, key: str, block: int) -> DataFrame:
     """Members dealt to the cells (group, lo, hi) of pairs of blocks, so that each pair of a group's members meets in one cell and no cell
     holds more than about two blocks. Column home: this row's block. A group of n rows is copied n / block times, not n times."""
-    sizes = members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
-    dealt = members.join(sizes, group).withColumn("home", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    # only the few groups of more than a block are looked up; written first, so that their table's size is known when the join is planned
+    sizes = materialise(members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).where("_n > 1"), "block-sizes")
+    dealt = members.join(sizes, group, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("home", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
     lo_hi = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(F.col("home"), o).alias("lo"), F.greatest(F.col("home"), o).alias("hi")))
     return dealt.withColumn("_c", F.explode(lo_hi)).select("*", "_c.lo", "_c.hi").drop("_c", "_n")

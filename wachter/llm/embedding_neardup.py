@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import block_pairs, components, list_array, materialise, smallest_reachable
+from wachter.llm.common import block_pairs, components, forest, list_array, materialise
 
 THRESHOLD = 0.9
 #: Pivots that describe a vector, and how many a pair of candidates shares.
@@ -82,15 +82,18 @@ def _verify(threshold: float, shared: int, n_pivots: int):
         near = np.stack([np.array(x) for x in cell.column("near").to_pylist()])
         has = np.zeros((len(keys), n_pivots), np.float32)
         np.put_along_axis(has, near, 1, 1)
-        pairs = (has @ has.T >= min(shared, near.shape[1])) & (has[:, :pivot] @ has[:, :pivot].T == 0)
-        np.fill_diagonal(pairs, False)
+        near_enough = has @ has.T >= min(shared, near.shape[1])
+        np.fill_diagonal(near_enough, False)
+        pairs = near_enough & (has[:, :pivot] @ has[:, :pivot].T == 0)
         if lo != hi:
             pairs &= home[:, None] != home[None, :]
         raw = np.frombuffer(b"".join(cell.column("packed").to_pylist()), float).reshape(len(keys), -1)
         raw = raw / np.abs(raw).max(1, keepdims=True)
         norm = np.sqrt((raw * raw).sum(1))
-        link = pairs & (raw @ raw.T / (norm[:, None] * norm[None, :]) >= threshold)
-        top, linked, some = smallest_reachable(link), link @ size, np.flatnonzero(link.any(1))
+        every = near_enough & (raw @ raw.T / (norm[:, None] * norm[None, :]) >= threshold)
+        link = pairs & every
+        top, linked = forest(every, home), link @ size
+        some = np.flatnonzero(link.any(1) | (top != np.arange(len(keys))))
         return pa.table({"a": pa.array([keys[i] for i in some], pa.string()), "b": pa.array([keys[top[i]] for i in some], pa.string()), "linked": pa.array(linked[some], pa.int64()), "candidates": pa.array(pairs[some].sum(1), pa.int64())})
 
     return run

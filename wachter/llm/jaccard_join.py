@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import GOLD, M1, U64, Tokens, block_pairs, components, list_array, materialise, mix, regroup, shingle_hashes, smallest_reachable, unique_by_text
+from wachter.llm.common import GOLD, M1, U64, Tokens, block_pairs, components, forest, list_array, materialise, mix, regroup, shingle_hashes, unique_by_text
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Classes in one block of a group; a cell holds two.
@@ -145,10 +145,10 @@ def _verify(threshold: float):
         both, own = intersections(sets), np.array([len(s) for s in sets], float)
         link = both / (own[:, None] + own[None, :] - both) >= threshold
         np.fill_diagonal(link, False)
+        top = forest(link, home)
         if lo != hi:
             link &= home[:, None] != home[None, :]
-        top, linked = smallest_reachable(link), link @ size
-        some = np.flatnonzero(link.any(1))
+        linked, some = link @ size, np.flatnonzero(link.any(1) | (top != np.arange(len(fps))))
         return pa.table({"a": pa.array([fps[i] for i in some], pa.binary()), "b": pa.array([fps[top[i]] for i in some], pa.binary()), "linked": pa.array(linked[some], pa.int64())})
 
     return run
@@ -191,14 +191,15 @@ def digest(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 def deduplicate(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """documents with one row of each group of near duplicates: that of the smallest doc_id. Texts without words all stay."""
-    cols = documents.columns
     _, found = classes(documents, text_col)
     # only groups of more than one row need a decision
     decide = materialise(found.where("n > 1 or linked > 0").select("fp", F.col("class_id").alias("_low"), (F.col("first_fp") == F.col("fp")).alias("_first"), (F.col("at_least") > 1).alias("_ties")), "jaccard-decisions")
-    tagged = signatures(documents, text_col).drop("fp1").withColumnRenamed("fp", "_fp").join(decide.withColumnRenamed("fp", "_fp"), "_fp", "left")
-    kept = tagged.where(F.col("_first").isNull() | (F.col("_first") & (F.col("_low").isNull() | (F.col("_low") == F.col("doc_id")))))
+    # the documents' own columns go in one struct, so that none of their names can clash
+    whole = documents.select(F.struct(*documents.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col(text_col).alias("_t"))
+    tagged = signatures(whole, "_t", keep=["_row", "_id"]).drop("fp1").withColumnRenamed("fp", "_fp").join(decide.withColumnRenamed("fp", "_fp").hint("shuffle_hash"), "_fp", "left")
+    kept = tagged.where(F.col("_first").isNull() | (F.col("_first") & (F.col("_low").isNull() | (F.col("_low") == F.col("_id")))))
     if decide.where("_first and _ties").limit(1).count():
         # a few groups whose smallest id is null or repeated: one of their rows
         plain, ties = kept.where("not coalesce(_ties, false)"), kept.where("_ties")
         kept = plain.union(ties.dropDuplicates(["_fp"]))
-    return kept.select(*cols)
+    return kept.select("_row.*")
