@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wachter.llm import decontaminate, jaccard_join, mixing, token_ids, toxicity
 from wachter.llm.common import work_path
@@ -15,7 +16,9 @@ from wachter.llm.common import work_path
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of its input and drops those that score 0.5 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.train_and_score(docs, labels).where("score < 0.5").select(*docs.columns)
+    # all columns go along in one struct, so that no name of theirs can clash
+    packed = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity.train_and_score(packed, labels, ["text", "row"]).where("score < 0.5").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
