@@ -121,7 +121,7 @@ def train_and_score(documents: DataFrame, labels: DataFrame, carry: list[str] |
     marks = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(2 * MAX_TRAIN_ROWS)
     examples = documents.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")  # 2 * MAX_TRAIN_ROWS rows at most
     model = materialise(fit(examples), "toxicity-model")
-    return score(documents.select(*(carry or documents.columns)).withColumn("held_out", held), model, text_col=text_col)
+    return score(documents.withColumn("held_out", held).select(*dict.fromkeys([*(carry or documents.columns), "held_out"])), model, text_col=text_col)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -35,6 +35,9 @@ class Tree:
 
     leaves: DataFrame
     levels: list[DataFrame]
+    up: int = 0  # levels within files
+    fanout: int = FANOUT
+    low: int = 0  # the first file's number
 
 
 def _height(lowest: int, highest: int, fanout: int) -> int:
@@ -56,10 +59,11 @@ def trees(replicas: list[DataFrame], fanout: int = FANOUT, name: str = "warc") -
     total = kept[sizes.index(some[0])].agg(F.avg("length")).first()[0]
     width = max(1, int(total * fanout))
     up = _height(0, max(s[2] for s in some) // width, fanout)
-    over = max(1, _height(min(s[0] for s in some), max(s[1] for s in some), fanout))
+    low = min(s[0] for s in some)  # files are counted from the first, so that ranges of negative and positive numbers meet in one root
+    over = max(1, _height(0, max(s[1] for s in some) - low, fanout))
     out = []
     for r in kept:
-        leaves = r.withColumn("range", F.floor(F.col("offset") / F.lit(width)))
+        leaves = r.withColumn("file", F.col("file") - F.lit(low)).withColumn("range", F.floor(F.col("offset") / F.lit(width)))
         level = leaves.groupBy("file", "range").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "digest"))), lambda x: F.concat_ws(":", x["offset"], x["digest"])), "\n"), 256).alias("hash"))
         levels = [materialise(level, f"{name}-level")]
         for h in range(1, up + over + 1):
@@ -69,7 +73,7 @@ def trees(replicas: list[DataFrame], fanout: int = FANOUT, name: str = "warc") -
             levels.append(materialise(grown, f"{name}-level"))
         out.append(Tree(leaves, levels))
     for t in out:
-        t.up, t.fanout = up, fanout
+        t.up, t.fanout, t.low = up, fanout, low
     return out
 
 
@@ -95,7 +99,7 @@ def audit(a: Tree, b: Tree) -> DataFrame:
     x, y = x.select("file", "page_id", "nth", F.col("offset").alias("oa"), F.col("digest").alias("da")), y.select(F.col("file").alias("f2"), F.col("page_id").alias("p2"), F.col("nth").alias("n2"), F.col("offset").alias("ob"), F.col("digest").alias("db"))
     both = x.join(y, (x["file"] == y["f2"]) & x["page_id"].eqNullSafe(y["p2"]) & (x["nth"] == y["n2"]), "full_outer")
     kind = F.when(F.col("db").isNull(), "missing").when(F.col("da").isNull(), "extra").when(F.col("da") != F.col("db"), "changed")
-    return both.withColumn("kind", kind).where("kind is not null").select(F.coalesce("file", "f2").alias("file"), F.coalesce("oa", "ob").alias("offset"), F.coalesce("page_id", "p2").alias("page_id"), "kind")
+    return both.withColumn("kind", kind).where("kind is not null").select((F.coalesce("file", "f2") + F.lit(a.low)).alias("file"), F.coalesce("oa", "ob").alias("offset"), F.coalesce("page_id", "p2").alias("page_id"), "kind")
 
 
 def damaged(pages: DataFrame) -> DataFrame:
