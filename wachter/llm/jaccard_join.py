@@ -203,3 +203,17 @@ def deduplicate(documents: DataFrame, text_col: str = "text") -> DataFrame:
         plain, ties = kept.where("not coalesce(_ties, false)"), kept.where("_ties")
         kept = plain.union(ties.dropDuplicates(["_fp"]))
     return kept.select("_row.*")
+
+
+#: All pairs that share an n-gram, for small tables.
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END AS s FROM t),
+sh AS (SELECT DISTINCT doc_id, unnest(s) AS x FROM g), c AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT p.a, p.b FROM p JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE CAST(k AS DOUBLE) / (ca.n + cb.n - k) >= 0.8),
+reach AS (SELECT doc_id AS id, doc_id AS r FROM t UNION SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.r),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id), nl AS (SELECT a, count(*) AS n_links FROM link GROUP BY a),
+cl AS (SELECT doc_id, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(s)) END AS class_id FROM g)
+SELECT cl.doc_id, class_id, coalesce(n_links, 0) AS n_links, component_id, cl.doc_id = component_id AS kept FROM cl JOIN comp ON comp.id = cl.doc_id LEFT JOIN nl ON nl.a = cl.doc_id
+"""

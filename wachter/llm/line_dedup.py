@@ -134,3 +134,17 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str
 def digest(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_deleted, text_md5 (of what is left) for every document."""
     return deduplicate(documents.select("doc_id", "text")).select("doc_id", F.col("_lines").alias("n_lines"), F.when(F.col("_gone") < 0, 0).otherwise(F.col("_gone")).alias("n_deleted"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+#: The same windows and deletions, by their texts.
+ORACLE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+w AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+win AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM w b JOIN w a ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.pos),
+named AS (SELECT win.doc_id, s, e, string_agg(line, chr(10) ORDER BY pos) AS body FROM win JOIN l ON l.doc_id = win.doc_id AND pos BETWEEN s AND e GROUP BY ALL),
+f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(s) OVER k AS fs FROM named WINDOW k AS (PARTITION BY body, e - s ORDER BY doc_id, s)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN fd = doc_id THEN greatest(s, fs + e - s + 1) ELSE s END, e + 1)) AS pos FROM f WHERE fd <> doc_id OR fs <> s)
+SELECT l.doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.pos) AS INT) AS n_deleted, md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS text_md5
+FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
+"""

@@ -52,4 +52,4 @@ def op10_token_id_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_katz_backoff, op2_line_dedup, op3_mixing_cube, op4_toxicity_ftrl, op5_pivot_neardup, op6_warc_merkle, op7_token_attribution, op8_ngram_jaccard_join, op9_template_decontamination, op10_token_id_orc)}
-ORACLE_SQL: dict[str, str] = {"op6_warc_merkle": warc_fixity.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_line_dedup": line_dedup.ORACLE_SQL, "op6_warc_merkle": warc_fixity.ORACLE_SQL, "op8_ngram_jaccard_join": jaccard_join.ORACLE_SQL}
