@@ -20,7 +20,7 @@ from wachter.llm.common import WORD, materialise
 
 MAX_REPEAT = 3
 #: Documents that one cell of the flight phase moves.
-CELL = 20_000
+CELL = 4_000
 #: Fractions that are left to the landing phase of a source; it looks at two to this power choices.
 LANDING = 12
 _EPS = 1e-9
@@ -130,8 +130,8 @@ def digest(documents: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """documents, each row as often as the plan takes it (not at all, up to three times)."""
     cols = documents.columns
-    got = plan(documents, text_col).where("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "repeats")
+    got = plan(documents, text_col).where("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_repeats"))
     got = materialise(got, "mix-plan")
     own = documents.withColumn("_n", F.expr(f"cast(regexp_count(coalesce({text_col}, ''), r'{WORD}') as bigint)"))
     on = own["doc_id"].eqNullSafe(got["_id"]) & own["source"].eqNullSafe(got["_source"]) & (own["_n"] == got["_size"])
-    return own.join(got, on).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats")))).select(*cols)
+    return own.join(got, on).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(*cols)
