@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from wachter.llm.common import GOLD, M1, U64, Tokens, materialise, mix, regroup, tasks
+from wachter.llm.common import GOLD, M1, U64, Tokens, materialise, mix, regroup, tasks, tidy
 
 ORDER = 2
 #: Counts up to this are discounted.
 K = 5
 #: Tokens of a block at most, unless one text has more, and tokens whose distinct grams one partition takes on average.
-BLOCK_TOKENS, PART_TOKENS = 4_000_000, 2_000_000
+BLOCK_TOKENS, PART_TOKENS = 4_500_000, 2_000_000
 END, BOS = U64(0x454E44), U64(0x424F53)
 #: Statistics of a context: contexts' n_1 .. n_K, words of counts over K, all words, sum of lower-order probabilities of seen words.
 _STATS = K + 3
@@ -45,6 +45,21 @@ def _unzip(raw: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def _gaps(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Differences of ascending runs; each run begins, at the positions new, with its first value."""
+    out = x.copy()
+    out[1:] -= x[:-1]
+    out[new] = x[new]
+    return out
+
+
+def _from_gaps(d: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The inverse of _gaps."""
+    total = np.cumsum(d, dtype=U64)
+    before = total[new] - d[new]
+    return total - np.repeat(before, np.diff(np.append(new, len(d))))
+
+
 def _low48(x: np.ndarray) -> np.ndarray:
     return x & U64((1 << 48) - 1)
 
@@ -136,15 +151,16 @@ def _request(b: Block, parts: int, hot: np.ndarray, lower: np.ndarray) -> Iterat
             continue
         new = np.flatnonzero(np.concatenate([[True], ctx[i + 1 : j] != ctx[i : j - 1]]))
         run = np.diff(np.append(new, j - i))
-        six = np.ascontiguousarray(gram[i:j]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-        body = [ctx[i:j][new].tobytes(), _zip(run.astype(np.uint32)), _zip(is_hot[i:j][new].astype(np.uint8)), six, _zip(count[i:j].astype(np.uint32)), _zip(low[i:j])]
-        yield p, np.array([len(new), j - i, *map(len, body)], np.int64).tobytes() + b"".join(body)
+        levels, level = np.unique(low[i:j], return_inverse=True)
+        zero = np.zeros(1, np.int64)
+        body = [_zip(_gaps(ctx[i:j][new], zero)), _zip(run.astype(np.uint32)), _zip(is_hot[i:j][new].astype(np.uint8)), _zip(_gaps(_low48(gram[i:j]), new)), _zip(count[i:j].astype(np.uint32)), levels.tobytes() + _zip(level.astype(np.uint32))]
+        yield p, np.array([len(new), j - i, *map(len, body), len(levels)], np.int64).tobytes() + b"".join(body)
 
 
-def _split(raw: bytes) -> tuple[int, int, list[bytes]]:
-    head = np.frombuffer(raw, np.int64, 8)
-    ends = 64 + np.concatenate([[0], np.cumsum(head[2:])])
-    return int(head[0]), int(head[1]), [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
+def _split(raw: bytes) -> tuple[int, int, list]:
+    head = np.frombuffer(raw, np.int64, 9)
+    ends = 72 + np.concatenate([[0], np.cumsum(head[2:8])])
+    return int(head[0]), int(head[1]), [*(raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)), int(head[8])]
 
 
 _REPLY = "block long, part int, k int, body binary, ctx long, stats array<double>"
@@ -158,15 +174,13 @@ def _answer(k: int):
         block = got.column("block").to_pylist()
         ctxs, runs, hots, grams, counts, lows = [], [], [], [], [], []
         for raw in got.column("body").to_pylist():
-            nc, n, (c, r, h, six, cnt, low) = _split(raw)
-            ctxs.append(np.frombuffer(c, U64))
+            nc, n, (c, r, h, gaps, cnt, low, levels) = _split(raw)
+            ctxs.append(_from_gaps(_unzip(c, nc, U64), np.zeros(1, np.int64)))
             runs.append(_unzip(r, nc, np.uint32).astype(np.int64))
             hots.append(_unzip(h, nc, np.uint8))
-            wide = np.zeros((n, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(six, np.uint8).reshape(n, 6)
-            grams.append(wide.view(U64).ravel())
+            grams.append(_from_gaps(_unzip(gaps, n, U64), np.cumsum(runs[-1]) - runs[-1]))
             counts.append(_unzip(cnt, n, np.uint32).astype(np.int64))
-            lows.append(_unzip(low, n, np.float64))
+            lows.append(np.frombuffer(low, np.float64, levels)[_unzip(low[8 * levels :], n, np.uint32)])
         sizes = [len(x) for x in grams]
         all_ctx, which = np.unique(np.concatenate(ctxs), return_inverse=True)
         ctx = np.repeat(which, np.concatenate(runs))
@@ -196,7 +210,7 @@ def _answer(k: int):
             mine = stats[which[ci:cj]]
             body = [_zip(back[i:j].astype(np.uint32)), _zip(mine[:, : K + 2].astype(np.uint32).ravel(order="F")), _zip(mine[:, K + 2])]
             out["block"].append(b)
-            out["body"].append(np.array([cj - ci, j - i, *map(len, body), 0, 0, 0], np.int64).tobytes() + b"".join(body))
+            out["body"].append(np.array([cj - ci, j - i, *map(len, body), 0, 0, 0, 0], np.int64).tobytes() + b"".join(body))
             out["ctx"].append(None)
             out["stats"].append(None)
         coc = [float((total == r).sum()) for r in range(1, K + 2)]
@@ -268,24 +282,21 @@ class Model:
     def probabilities(self, b: Block, k: int, hot: np.ndarray, lower: np.ndarray, replies: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(P_k, count) of the block's grams of order k."""
         order, part = b.dealt(self.parts, hot)
-        count, stats = np.zeros(len(order), np.int64), np.zeros((len(order), _STATS))
+        out, got = np.empty(len(order)), np.empty(len(order), np.int64)
         ends = np.searchsorted(part, np.arange(self.parts + 1))
-        ctx = b.context_hash[order]
-        for p in np.unique(part):
-            i, j = ends[p], ends[p + 1]
-            nc, n, (cnt, ints, low, *_) = _split(replies[int(p)])
-            new = np.concatenate([[True], ctx[i + 1 : j] != ctx[i : j - 1]])
-            own = np.cumsum(new) - 1
-            count[i:j] = _unzip(cnt, n, np.uint32)
-            stats[i:j, : K + 2] = _unzip(ints, nc * (K + 2), np.uint32).reshape(K + 2, nc).T[own]
-            stats[i:j, K + 2] = _unzip(low, nc, np.float64)[own]
         keys, known = self.hot[k - 1]
-        is_hot = hot[order]
-        if is_hot.any():
-            stats[is_hot] = known[np.searchsorted(keys, ctx[is_hot])]
-        out, got = np.empty(len(order)), np.empty(len(order), np.int64)
-        out[order] = katz(count, stats, lower[order], self.d[k - 1])
-        got[order] = count
+        for p in np.unique(part):  # part by part: statistics are wide, and grams are many
+            at = order[ends[p] : ends[p + 1]]
+            ctx = b.context_hash[at]
+            nc, n, (cnt, ints, low, *_) = _split(replies[int(p)])
+            own = np.cumsum(np.concatenate([[True], ctx[1:] != ctx[:-1]])) - 1
+            stats = np.empty((nc, _STATS))
+            stats[:, : K + 2] = _unzip(ints, nc * (K + 2), np.uint32).reshape(K + 2, nc).T
+            stats[:, K + 2] = _unzip(low, nc, np.float64)
+            count, stats, is_hot = _unzip(cnt, n, np.uint32).astype(np.int64), stats[own], hot[at]
+            if is_hot.any():
+                stats[is_hot] = known[np.searchsorted(keys, ctx[is_hot])]
+            out[at], got[at] = katz(count, stats, lower[at], self.d[k - 1]), count
         return out, got
 
     def walk(self, b: Block, replies: dict[tuple[int, int], bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
@@ -352,6 +363,7 @@ def score(documents: DataFrame, held_out: str, order: int = ORDER, text_col: str
             asked = own.groupBy("block").cogroup(_union(tables).groupBy("block")).applyInArrow(_ask(model), "block long, part int, body binary")
         tables.append(materialise(asked.groupBy("part").applyInArrow(_answer(k), _REPLY), f"katz-counts-{k}"))
         model.learn(tables[-1])
+        tidy(documents.sparkSession)
     types, total = model.sums[0][K + 1], model.sums[0][K + 2]
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
