@@ -126,7 +126,8 @@ def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str
     empty texts stay as they are; a text of which nothing is left becomes empty."""
     gone = materialise(repeated_lines(documents, min_words, text_col).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("gone").alias("_g")), "lines-gone")
     src = documents.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = src.join(gone, src["doc_id"].eqNullSafe(gone["_d"]) & (src["_h"] == gone["_th"]), "left")
+    # of the two sides only the deletions are built into a table, partition by partition: texts are dealt out but not sorted
+    both = src.join(gone.hint("shuffle_hash"), src["doc_id"].eqNullSafe(gone["_d"]) & (src["_h"] == gone["_th"]), "left")
     text = F.when(F.col("_g").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_g"), i)), "\n"))
     return both.select(*[F.col(c) if c != text_col else text.alias(text_col) for c in documents.columns], F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("_lines"), F.coalesce(F.size("_g"), F.lit(0)).alias("_gone"))
 
