@@ -179,6 +179,19 @@ def test_line_dedup(spark):
     assert (r[0]["n_deleted"], r[1]["n_deleted"]) == (0, 1) and r[1]["text_md5"] == hashlib.md5(b"q").hexdigest()
 
 
+def test_line_dedup_deletes_short_lines(spark):
+    rng = random.Random(10)
+    long = [prose(rng, 60) for _ in range(2)]
+    texts = [f"All rights reserved.\n\n{long[0]}\nyes", f"{long[1]}\n\nAll rights reserved.\n\nno", "yes\nmaybe\n", "\n\n", " \nyes no", *ODD]
+    rows = list(enumerate(texts))
+    gone = brute_lines(rows, 1)
+    got = {r["doc_id"]: r for r in line_dedup.deduplicate(docs(spark, texts)).collect()}
+    assert got[1]["text"] == f"{long[1]}\n\nno" and got[2]["text"] == "maybe\n" and got[3]["text"] == "\n\n"
+    for i, t in rows:
+        assert got[i]["_gone"] == len(gone[i])
+        assert got[i]["text"] == (t if not gone[i] else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]))
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     clean = [prose(rng, 60) for _ in range(30)]

@@ -5,8 +5,9 @@ level k + 1 ranks the pairs (rank at the line, rank 2**k lines on). Ranks are de
 suffixes share a rank; suffixes that are already alone need no further rank. Two overlapping ranks give the interval of all suffixes that
 share a prefix of any length: an interval of two or more is a repeated run. The first copy of a run stays, later ones go.
 
-A run counts if it has at least MIN_WORDS words. It is found by its shortest such prefixes and suffixes: from each line on, and up to each
-line, the fewest lines with so many words. Together these windows cover each line of each maximal repeated run."""
+A run counts if it has at least MIN_WORDS words; with 1, all do but runs of lines without a word. It is found by its shortest such prefixes
+and suffixes: from each line on, and up to each line, the fewest lines with so many words. Together these windows cover each line of each
+maximal repeated run."""
 
 from __future__ import annotations
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wachter.llm.common import Tokens, materialise, mix, regroup, release, tasks, utf8
 
-MIN_WORDS = 50
+MIN_WORDS = 1
 _KEY = ["doc_id", "th"]
 
 
