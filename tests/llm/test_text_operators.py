@@ -211,6 +211,19 @@ def test_decontamination(spark):
     assert decontaminate.digest(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_ignores_case(spark):
+    rng = random.Random(6)
+    item = "The train left Berlin at 9 with 120 people and Maria counted 45 km before the driver stopped near Hamburg at 11 for the second time"
+    bench = spark.createDataFrame([(0, item), (1, prose(rng, 30))], "item_id long, text string")
+    around = [prose(rng, 40) for _ in range(2)]
+    half = item[: len(item) // 2].upper() + item[len(item) // 2 :].replace("Hamburg", "Paris")
+    other = item.lower().replace("9", "8").replace("120", "77").replace("45 km", "30 miles").replace("11", "10")
+    texts = [item.upper(), item.lower(), item.title(), other, half, " ".join([around[0].upper(), item.upper(), around[1].upper()]), *around, around[0].upper(), item.lower().replace("9", "8").replace("120", "8").replace("11", "8"), *ODD]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.digest(docs(spark, texts), bench).collect()}
+    assert got == {(i, 0) for i in range(6)}
+    assert decontaminate.decontaminate(docs(spark, texts), bench).count() == len(texts) - 6
+
+
 def toxic_set(rng, n):
     bad = ["vile", "rotten", "foul"]
     rows, marks = [], []

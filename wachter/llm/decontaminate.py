@@ -1,7 +1,8 @@
 """Benchmark decontamination: template windows joined by hash, decided by coverage and slot consistency.
 
 Numbers, names and units become typed placeholders, so a benchmark item still matches when its values have been changed. A match counts
-only if the values stand to each other one to one: the same value of the item is always the same value in the document."""
+only if the values stand to each other one to one: the same value of the item is always the same value in the document. Names are known by
+their capitals, so windows are also joined with names as lower-case words: a copy in capitals or in small letters matches by these."""
 
 from __future__ import annotations
 
@@ -26,6 +27,8 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)(%|°|[a-z]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%°]+$")
 PLAIN, IS_NUM, IS_UNIT, IS_CAP, ENDS = 0, 1, 2, 4, 8
+#: Kinds of windows: with names as placeholders, with names as words; and what all kinds find together.
+TEMPLATE, BLIND, ANY = 0, 1, 9
 
 
 def _describe(piece: str) -> tuple[str, int]:
@@ -46,7 +49,7 @@ class Templates:
         self.lens = t.lens
         n = len(t.starts)
         if not n:
-            self.code = self.value = np.zeros(0, U64)
+            self.codes, self.value, self.slot = {}, np.zeros(0, U64), np.zeros(0, bool)
             return
         cut = np.append(t.starts, len(t.raw)).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(t.raw))]).dictionary_encode()
@@ -63,55 +66,60 @@ class Templates:
         unit = ((flags & IS_UNIT) > 0) & ~start & np.roll(number, 1)
         name = ((flags & IS_CAP) > 0) & ~opens & ~number & ~unit
         self.slot = number | unit | name
-        self.code = np.where(number, NUM, np.where(unit, UNIT, np.where(name, NAME, self.value)))
+        blind = np.where(number, NUM, np.where(unit, UNIT, self.value))
+        self.codes = {TEMPLATE: np.where(name, NAME, blind), BLIND: blind}
+        self.literal = {TEMPLATE: ~self.slot, BLIND: ~(number | unit)}
 
 
-def _windows(t: Templates, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash) of all n-word windows of texts of at least n words."""
-    sh, count = shingle_hashes(t.code, t.lens, n)
+def _windows(t: Templates, kind: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position in it, hash) of all n-word windows of texts of at least n words. Hashes of different kinds differ."""
+    sh, count = shingle_hashes(t.codes[kind], t.lens, n)
     text = np.repeat(np.arange(len(count)), count)
     pos = np.arange(len(sh)) - np.repeat(np.cumsum(count) - count, count)
     ok = t.lens[text] >= n
-    return text[ok], pos[ok], mix(sh[ok] ^ U64(n * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
+    return text[ok], pos[ok], mix(sh[ok] ^ U64((n + (kind << 32)) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
 
 
-def _emit(t: Templates, n: int, text: np.ndarray, pos: np.ndarray, h: np.ndarray, take: np.ndarray) -> list[pa.Array]:
+def _emit(t: Templates, n: int, text: np.ndarray, pos: np.ndarray, h: np.ndarray, take: np.ndarray, shown: np.ndarray) -> list[pa.Array]:
     text, pos, h = text[take], pos[take], h[take]
     at = (np.cumsum(t.lens) - t.lens)[text] + pos
     cols = at[:, None] + np.arange(n)
-    values = np.where(t.slot[cols], t.value[cols].view(np.int64), 0) if len(at) else np.zeros((0, n), np.int64)
+    values = np.where(shown[cols], t.value[cols].view(np.int64), 0) if len(at) else np.zeros((0, n), np.int64)
     return [pa.array(pos, pa.int64()), pa.array(h), list_array(values.ravel(), np.full(len(at), n), pa.int64())]
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, b_pos, n, h, b_slots, windows): the item's windows with enough literal words, and their number. Items of fewer than n words
-    have one window, all of them; null or empty items have none."""
+    """(item_id, b_pos, n, kind, h, b_slots, windows, every): the item's windows of each kind with enough literal words, their number, and
+    that of windows of any kind. Items of fewer than n words have one window, all of them; null or empty items have none."""
     src = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("_text"))
-    schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", b_pos long, h long, b_slots array<long>, n int, windows long"
+    schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", b_pos long, h long, b_slots array<long>, n int, kind int, windows long, every long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in regroup(batches, 1 << 20):
             t = Templates(b.column("_text"))
             for k in range(1, n + 1):
-                if not len(t.code):
-                    continue
-                text, pos, h = _windows(t, k)
-                take = t.lens[text] == k if k < n else t.lens[text] >= n
-                at = (np.cumsum(t.lens) - t.lens)[text] + pos
-                literal = np.array([(~t.slot[a : a + k]).sum() for a in at], np.int64) if len(at) else np.zeros(0, np.int64)
-                take &= literal >= min(min_literals, k)
-                windows = np.bincount(text[take], minlength=len(t.lens))[text[take]]
-                ids = b.column("item_id").take(pa.array(text[take]))
-                yield pa.RecordBatch.from_arrays([ids, *_emit(t, k, text, pos, h, take), pa.array(np.full(int(take.sum()), k), pa.int32()), pa.array(windows, pa.int64())], ["item_id", "b_pos", "h", "b_slots", "n", "windows"])
+                found = {}
+                for kind in t.codes:
+                    text, pos, h = _windows(t, kind, k)
+                    at = (np.cumsum(t.lens) - t.lens)[text] + pos
+                    total = np.concatenate([[0], np.cumsum(t.literal[kind])])
+                    found[kind] = h, (t.lens[text] == k if k < n else t.lens[text] >= n) & (total[at + k] - total[at] >= min(min_literals, k))
+                for kind, (h, take) in found.items():
+                    # all kinds have the same windows in the same order
+                    some = np.logical_or.reduce([x for _, x in found.values()])
+                    windows, every = (np.bincount(text[x], minlength=len(t.lens))[text[take]] for x in (take, some))
+                    ids = b.column("item_id").take(pa.array(text[take]))
+                    yield pa.RecordBatch.from_arrays([ids, *_emit(t, k, text, pos, h, take, t.slot), *(pa.array(np.full(int(take.sum()), x), pa.int32()) for x in (k, kind)), pa.array(windows, pa.int64()), pa.array(every, pa.int64())], ["item_id", "b_pos", "h", "b_slots", "n", "kind", "windows", "every"])
 
     return src.mapInArrow(run, schema)
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE, min_literals: int = MIN_LITERALS) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, at): the documents that hold at least this share of an item's windows with consistent
-    slots, and the first word of the match. Rows alike in id and text count once; null ids stay null."""
+    slots, and the first word of the match. The windows are those of the first kind that has the share, or else of all kinds together. Rows
+    alike in id and text count once; null ids stay null."""
     bench = materialise(benchmark_windows(benchmark, n, min_literals), "benchmark-windows")
-    lengths = sorted(r[0] for r in bench.select("n").distinct().collect())  # at most n numbers
+    sorts = sorted((r[0], r[1]) for r in bench.select("kind", "n").distinct().collect())  # at most n of each kind
     words = {r[0]: r[1] for r in bench.select(F.expr(f"pmod(h, {FILTER_BITS})").alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("v")).collect()}  # FILTER_BITS / 64 rows at most
     table = np.zeros(FILTER_BITS // 64, np.int64)
     if words:
@@ -123,21 +131,24 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in regroup(batches, 8 << 20):
             t = Templates(b.column("_text"))
-            for k in lengths if len(t.code) else []:
-                text, pos, h = _windows(t, k)
+            shown = np.ones(len(t.value), bool)  # the item knows which of them are slots
+            for kind, k in sorts if len(t.value) else []:
+                text, pos, h = _windows(t, kind, k)
                 bit = h % FILTER_BITS
                 take = np.flatnonzero((sent.value[bit // 64] >> (bit % 64)) & 1)
                 if len(take):
                     own = pa.array(text[take])
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("text_hash").take(own), *_emit(t, k, text, pos, h, take)], ["doc_id", "text_hash", "d_pos", "h", "d_slots"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("text_hash").take(own), *_emit(t, k, text, pos, h, take, shown)], ["doc_id", "text_hash", "d_pos", "h", "d_slots"])
 
     hits = src.mapInArrow(run, schema).join(bench, "h")
     runs = hits.withColumn("_pairs", F.filter(F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d"))), lambda p: p["b"] != 0))
+    runs = runs.withColumn("rule", F.explode(F.array("kind", F.lit(ANY)))).withColumn("windows", F.when(F.col("rule") == ANY, F.col("every")).otherwise(F.col("windows")))
     # an item's words bound the pairs of one alignment
-    runs = runs.groupBy("doc_id", "text_hash", "item_id", "windows", (F.col("d_pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("b_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("pairs"), F.min("d_pos").alias("at"))
+    runs = runs.groupBy("doc_id", "text_hash", "item_id", "rule", "windows", (F.col("d_pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("b_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("pairs"), F.min("d_pos").alias("at"))
     one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-    got = runs.where(one).groupBy("doc_id", "text_hash", "item_id", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("matched"), F.min("at").alias("at"))
-    return got.where(F.col("matched") >= F.col("windows") * share).select("doc_id", "text_hash", "item_id", "matched", "windows", "at")
+    got = runs.where(one).groupBy("doc_id", "text_hash", "item_id", "rule", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("matched"), F.min("at").alias("at"))
+    best = got.where(F.col("matched") >= F.col("windows") * share).groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.struct("rule", "matched", "windows", "at")).alias("b"))
+    return best.select("doc_id", "text_hash", "item_id", "b.matched", "b.windows", "b.at")
 
 
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
