@@ -224,6 +224,20 @@ def test_decontamination_ignores_case(spark):
     assert decontaminate.decontaminate(docs(spark, texts), bench).count() == len(texts) - 6
 
 
+def test_decontamination_of_dense_items(spark):
+    rng = random.Random(7)
+    table = "Alice 12 Bob 15 Carol 9 Dave 31 Erin 4 Frank 77 Grace 5 Heidi 8"
+    mixed = table + " and then all of the children went back home to eat their supper with the rest of us"
+    items = ["Who wrote Pride and Prejudice?", table, "12 + 15 = 27", mixed, "3 4 5"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    around = [prose(rng, 40) for _ in range(2)]
+    inside = [f"{around[0]} {x} {around[1]}" for x in items[:3]]
+    tail = around[0] + mixed[len(table) :]
+    texts = [*inside, table.lower(), table.upper(), tail, table.replace("12", "13").replace("31", "30").replace("5", "6"), table.replace("Bob", "Tom").replace("Erin", "Ann").replace("Heidi", "Jane"), "who wrote Emma and Persuasion?", "12 + 16 = 28", *around, *ODD]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.digest(docs(spark, texts), bench).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 1), (4, 1), (5, 3), (6, 1)}
+
+
 def toxic_set(rng, n):
     bad = ["vile", "rotten", "foul"]
     rows, marks = [], []

@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a benchmark item still matches when its values have been changed. A match counts
 only if the values stand to each other one to one: the same value of the item is always the same value in the document. Names are known by
-their capitals, so windows are also joined with names as lower-case words: a copy in capitals or in small letters matches by these."""
+their capitals, so windows are also joined with names as lower-case words: a copy in capitals or in small letters matches by these.
+Windows with too few literal words for a template are joined by their exact lower-case words."""
 
 from __future__ import annotations
 
@@ -27,8 +28,8 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 _NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)(%|°|[a-z]+)")
 _EDGE = re.compile(r"^[^\w$€£+%-]+|[^\w%°]+$")
 PLAIN, IS_NUM, IS_UNIT, IS_CAP, ENDS = 0, 1, 2, 4, 8
-#: Kinds of windows: with names as placeholders, with names as words; and what all kinds find together.
-TEMPLATE, BLIND, ANY = 0, 1, 9
+#: Kinds of windows: with names as placeholders, with names as words, with all words as they are; and what all kinds find together.
+TEMPLATE, BLIND, EXACT, ANY = 0, 1, 2, 9
 
 
 def _describe(piece: str) -> tuple[str, int]:
@@ -67,8 +68,8 @@ class Templates:
         name = ((flags & IS_CAP) > 0) & ~opens & ~number & ~unit
         self.slot = number | unit | name
         blind = np.where(number, NUM, np.where(unit, UNIT, self.value))
-        self.codes = {TEMPLATE: np.where(name, NAME, blind), BLIND: blind}
-        self.literal = {TEMPLATE: ~self.slot, BLIND: ~(number | unit)}
+        self.codes = {TEMPLATE: np.where(name, NAME, blind), BLIND: blind, EXACT: self.value}
+        self.literal = {TEMPLATE: ~self.slot, BLIND: ~(number | unit), EXACT: np.ones(n, bool)}
 
 
 def _windows(t: Templates, kind: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,8 +90,9 @@ def _emit(t: Templates, n: int, text: np.ndarray, pos: np.ndarray, h: np.ndarray
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """(item_id, b_pos, n, kind, h, b_slots, windows, every): the item's windows of each kind with enough literal words, their number, and
-    that of windows of any kind. Items of fewer than n words have one window, all of them; null or empty items have none."""
+    """(item_id, b_pos, n, kind, h, b_slots, windows, every): the item's windows of each kind with enough literal words (exact ones: where
+    the template has too few), their number, and that of windows of any kind. Items of fewer than n words have one window, all of them; null
+    or empty items have none."""
     src = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("_text"))
     schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", b_pos long, h long, b_slots array<long>, n int, kind int, windows long, every long"
 
@@ -104,6 +106,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, min_literals: int =
                     at = (np.cumsum(t.lens) - t.lens)[text] + pos
                     total = np.concatenate([[0], np.cumsum(t.literal[kind])])
                     found[kind] = h, (t.lens[text] == k if k < n else t.lens[text] >= n) & (total[at + k] - total[at] >= min(min_literals, k))
+                if found:
+                    found[EXACT] = found[EXACT][0], found[EXACT][1] & ~found[TEMPLATE][1]
                 for kind, (h, take) in found.items():
                     # all kinds have the same windows in the same order
                     some = np.logical_or.reduce([x for _, x in found.values()])
@@ -116,8 +120,8 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, min_literals: int =
 
 def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE, min_literals: int = MIN_LITERALS) -> DataFrame:
     """(doc_id, text_hash, item_id, matched, windows, at): the documents that hold at least this share of an item's windows with consistent
-    slots, and the first word of the match. The windows are those of the first kind that has the share, or else of all kinds together. Rows
-    alike in id and text count once; null ids stay null."""
+    slots, and the first word of the match. The windows are those of the template or of names as words, whichever first has the share, or
+    else of all kinds together. Rows alike in id and text count once; null ids stay null."""
     bench = materialise(benchmark_windows(benchmark, n, min_literals), "benchmark-windows")
     sorts = sorted((r[0], r[1]) for r in bench.select("kind", "n").distinct().collect())  # at most n of each kind
     words = {r[0]: r[1] for r in bench.select(F.expr(f"pmod(h, {FILTER_BITS})").alias("bit")).groupBy(F.expr("cast(bit div 64 as int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(bit, 64) as int)))").alias("v")).collect()}  # FILTER_BITS / 64 rows at most
@@ -142,7 +146,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
 
     hits = src.mapInArrow(run, schema).join(bench, "h")
     runs = hits.withColumn("_pairs", F.filter(F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d"))), lambda p: p["b"] != 0))
-    runs = runs.withColumn("rule", F.explode(F.array("kind", F.lit(ANY)))).withColumn("windows", F.when(F.col("rule") == ANY, F.col("every")).otherwise(F.col("windows")))
+    runs = runs.withColumn("rule", F.explode(F.array("kind", F.lit(ANY)))).where(F.col("rule") != EXACT).withColumn("windows", F.when(F.col("rule") == ANY, F.col("every")).otherwise(F.col("windows")))
     # an item's words bound the pairs of one alignment
     runs = runs.groupBy("doc_id", "text_hash", "item_id", "rule", "windows", (F.col("d_pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("b_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("pairs"), F.min("d_pos").alias("at"))
     one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
