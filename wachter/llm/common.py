@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -9,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A token of the contracts: bytes other than space and 0x09 to 0x0D.
@@ -29,11 +30,18 @@ _ROOT: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder that spark.checkpoint.dir names, or else that of setCheckpointDir; a temporary one only where neither is set and
+    driver and executors are one process. It is deleted when the session ends."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = _ROOT.setdefault("tmp", tempfile.mkdtemp(prefix="wachter-"))
-    return f"{root.rstrip('/')}/wachter/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/wachter/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -60,6 +68,15 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns the memory that a Python worker's allocators hold back, so that workers between two tasks are small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -180,9 +197,27 @@ def list_array(values: np.ndarray, lens: np.ndarray, kind: pa.DataType) -> pa.Li
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int = 24 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of a batch of texts between the JVM and Python, unless one row has more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send Arrow batches of bounded bytes, where it still has Spark's bound of 64 MB: a batch's buffers are held twice in the JVM
+    and, with all that is computed from them, in Python, by each task."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "64m").rstrip("b") in {"64m", str(64 << 20)}:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size, whatever the session's batch size: memory follows the longest text, not the batch."""
     held, size = [], 0
+    give_back()  # what the task before has left
     for b in batches:
         parts = -(-b.nbytes // most_bytes) if b.num_rows else 1
         step = max(1, -(-b.num_rows // max(1, parts)))
@@ -196,11 +231,36 @@ def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int = 24 << 20) -> It
             size += n
     if held:
         yield pa.concat_batches(held)
+        del held
+    give_back()
 
 
 # --- relational helpers ------------------------------------------------------------------------
 
 
+def text_hash(text: str | Column) -> Column:
+    """64 bits of a text; null is empty. Beside an id it tells a document's row without its text."""
+    return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
+
+
+def lookup(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The small side of a join: broadcast if it has at most so many rows (which are counted), else one hash table a partition, so that the
+    large side is dealt out but never sorted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
+def as_rows(df: DataFrame) -> DataFrame:
+    """df with all its columns in the one struct row, so that no name of theirs clashes with another."""
+    return df.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row"))
+
+
+def without(documents: DataFrame, gone: DataFrame, text_col: str = "text") -> DataFrame:
+    """documents without the rows that the written table gone(doc_id, th) names, nulls like values. Texts are read by the JVM alone."""
+    rows = as_rows(documents)
+    named = F.col("row.doc_id").eqNullSafe(gone["doc_id"]) & (text_hash(f"row.{text_col}") == gone["th"])
+    return rows.join(lookup(gone), named, "left_anti").select("row.*")
+
+
 def prefix_sum(df: DataFrame, order: list[str], value: str, out: str, name: str = "prefix") -> DataFrame:
     """df with out: the sum of value over all rows before this one in the order. One range shuffle; only one row a partition meets in one task."""
     spark = df.sparkSession
@@ -254,11 +314,13 @@ def forest(link: np.ndarray, home: np.ndarray) -> np.ndarray:
     return np.where(inner == rows, top, rows)
 
 
-def block_pairs(members: DataFrame, group: str, key: str, block: int) -> DataFrame:
+def block_pairs(members: DataFrame, group: str, key: str, block: int, weight: str | None = None, most: int = 1) -> DataFrame:
     """Members dealt to the cells (group, lo, hi) of pairs of blocks, so that each pair of a group's members meets in one cell and no cell
-    holds more than about two blocks. Column home: this row's block. A group of n rows is copied n / block times, not n times."""
+    holds more than about two blocks, nor (unless one member does) more than about twice the weight most. Column home: this row's block. A
+    group of n rows is copied n / block times, not n times."""
     # only the few groups of more than a block are looked up; written first, so that their table's size is known when the join is planned
-    sizes = materialise(members.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_n")).where("_n > 1"), "block-sizes")
-    dealt = members.join(sizes, group, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("home", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
+    blocks = F.ceil(F.count("*") / block) if weight is None else F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(weight) / most))
+    sizes = materialise(members.groupBy(group).agg(blocks.cast("int").alias("_n")).where("_n > 1"), "block-sizes")
+    dealt = members.join(lookup(sizes), group, "left").withColumn("_n", F.coalesce("_n", F.lit(1))).withColumn("home", F.pmod(F.xxhash64(key), F.col("_n")).cast("int"))
     lo_hi = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least(F.col("home"), o).alias("lo"), F.greatest(F.col("home"), o).alias("hi")))
     return dealt.withColumn("_c", F.explode(lo_hi)).select("*", "_c.lo", "_c.hi").drop("_c", "_n")
