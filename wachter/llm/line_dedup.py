@@ -2,12 +2,13 @@
 
 A suffix is a document from one of its lines on. Its rank at level k is its place in the order of all suffixes by their first 2**k lines;
 level k + 1 ranks the pairs (rank at the line, rank 2**k lines on). Ranks are dealt by a range sort of the distinct pairs, so equal
-suffixes share a rank; suffixes that are already alone need no further rank. Two overlapping ranks give the interval of all suffixes that
-share a prefix of any length: an interval of two or more is a repeated run. The first copy of a run stays, later ones go.
+suffixes share a rank; suffixes that are already alone need no further rank. Two overlapping ranks name the interval of all suffixes with a
+common prefix of a given length: an interval of two or more suffixes is a repeated run. The first copy of a run stays, later ones go.
 
-A run counts if it has at least MIN_WORDS words; with 1, all do but runs of lines without a word. It is found by its shortest such prefixes
-and suffixes: from each line on, and up to each line, the fewest lines with so many words. Together these windows cover each line of each
-maximal repeated run."""
+A run counts if it has at least MIN_WORDS words; with 1, all do but runs of lines without a word. The longest-common-prefix intervals that
+are looked up are the shallowest ones that count: from each line on, and up to each line, the fewest lines with so many words. Every line of
+a maximal repeated run lies in one of them that is part of the run, so the later copies of these, merged document by document, are the
+later copies of the maximal runs; deeper intervals would add nothing."""
 
 from __future__ import annotations
 
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import Tokens, materialise, mix, regroup, release, tasks, utf8
+from wachter.llm.common import Tokens, as_rows, lookup, map_arrow, materialise, mix, regroup, release, tasks, small_batches, text_hash, utf8
 
 MIN_WORDS = 1
 _KEY = ["doc_id", "th"]
@@ -27,11 +28,11 @@ _KEY = ["doc_id", "th"]
 def lines(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
     """(doc_id, th, pos, h, t, u): each line's hash, and how many lines from it on (t), or up to it (u), have min_words words (0: too few).
     th is the text's hash; rows alike in id and text are one document."""
-    src = documents.select(F.col("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).cast("string").alias("_text"))
+    src = documents.select(F.col("doc_id"), text_hash(text_col).alias("th"), F.col(text_col).cast("string").alias("_text"))
     schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", pos int, h long, t int, u int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regroup(batches, 8 << 20):
+        for b in regroup(batches):
             raw, at = utf8(b.column("_text"))
             if not len(raw):
                 continue
@@ -63,7 +64,7 @@ def lines(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "tex
             own = pa.array(doc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("th").take(own), pa.array(pos, pa.int32()), pa.array(h.view(np.int64)), pa.array(fore, pa.int32()), pa.array(back, pa.int32())], ["doc_id", "th", "pos", "h", "t", "u"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def _line_hash(column: pa.Array) -> np.ndarray:
@@ -79,8 +80,9 @@ def suffix_ranks(all_lines: DataFrame, longest: int) -> list[DataFrame]:
     """Level by level (doc_id, th, pos, rank) of the suffixes whose first 2**k lines occur again, up to the level that windows of the longest
     length need."""
     spark = all_lines.sparkSession
-    again = all_lines.groupBy(F.col("h").alias("rank")).agg(F.count("*").alias("c")).where("c > 1").select("rank")
-    level = materialise(all_lines.select(*_KEY, "pos", F.col("h").alias("rank")).join(again, "rank").select(*_KEY, "pos", "rank"), "suffix-0")
+    # written first: a very frequent line's join can then be split, apart from the count of it
+    again = materialise(all_lines.groupBy(F.col("h").alias("rank")).agg(F.count("*").alias("c")).where("c > 1").select("rank"), "lines-again")
+    level = materialise(all_lines.select(*_KEY, "pos", F.col("h").alias("rank")).join(lookup(again), "rank").select(*_KEY, "pos", "rank"), "suffix-0")
     levels, step = [level], 1
     while 2 * step <= longest and level.limit(1).count():
         on = level.select(F.col("doc_id").alias("d2"), F.col("th").alias("th2"), (F.col("pos") - F.lit(step)).alias("p2"), F.col("rank").alias("next"))
@@ -97,9 +99,10 @@ def suffix_ranks(all_lines: DataFrame, longest: int) -> list[DataFrame]:
     return levels
 
 
-def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
-    """(doc_id, th, gone): by document the sorted numbers of the lines to delete: those in a later copy of a run of at least min_words words.
-    The first copy is that of the smallest (doc_id, text hash, line), null ids first; lines that a later copy shares with the first stay."""
+def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+    """(doc_id, th, runs): by document the lines to delete, as disjoint ascending runs of (from, to), to excluded: those in a later copy of a
+    run of at least min_words words. The first copy is that of the smallest (doc_id, text hash, line), null ids first; lines that a later
+    copy shares with the first stay."""
     own = materialise(lines(documents, min_words, text_col).dropDuplicates([*_KEY, "pos"]), "lines")
     windows = own.select(*_KEY, "pos", F.col("t").alias("len")).where("len > 0").union(own.where("u > 0").select(*_KEY, (F.col("pos") - F.col("u") + 1).alias("pos"), F.col("u").alias("len"))).distinct()
     longest = own.agg(F.greatest(F.max("t"), F.max("u"))).first()[0] or 0
@@ -114,39 +117,95 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, text_col: s
     end = F.col("pos") + F.col("len") - F.expr("cast(shiftleft(1, k) as int)")
     named = windows.join(a, same("d1", "t1", "p1", "k1", F.col("pos"))).join(b, same("d2", "t2", "p2", "k2", end)).select(*_KEY, "pos", "len", "ra", "rb")
     named = materialise(named, "line-windows")
-    first = named.groupBy("len", "ra", "rb").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = named.join(first, ["len", "ra", "rb"])
+    release(*levels)
+    first = materialise(named.groupBy("len", "ra", "rb").agg(F.min(F.struct(*_KEY, "pos")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "line-intervals")
+    later = named.join(lookup(first), ["len", "ra", "rb"])
     at_home = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    later = later.withColumn("_from", F.when(at_home, F.greatest(F.col("pos"), F.col("first.pos") + F.col("len"))).otherwise(F.col("pos"))).withColumn("_to", F.col("pos") + F.col("len") - 1)
-    gone = later.where((~at_home | (F.col("pos") != F.col("first.pos"))) & (F.col("_from") <= F.col("_to")))
-    return gone.select(*_KEY, F.explode(F.sequence("_from", "_to")).alias("pos")).groupBy(*_KEY).agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    later = later.withColumn("_from", F.when(at_home, F.greatest(F.col("pos"), F.col("first.pos") + F.col("len"))).otherwise(F.col("pos"))).withColumn("_to", F.col("pos") + F.col("len"))
+    gone = later.where((~at_home | (F.col("pos") != F.col("first.pos"))) & (F.col("_from") < F.col("_to")))
+    # a document's own lines bound its list
+    return gone.groupBy(*_KEY).agg(F.collect_list(F.struct(F.col("_from").alias("from"), F.col("_to").alias("to"))).alias("runs")).withColumn("runs", _merged("runs"))
+
+
+def _merge(column: pa.Array) -> pa.Array:
+    """Runs of each list, sorted, those that touch joined."""
+    own = np.repeat(np.arange(len(column)), np.diff(column.offsets.to_numpy()))
+    runs = column.flatten()
+    lo, hi = (runs.field(x).to_numpy().astype(np.int64) + (own << 32) for x in ("from", "to"))
+    order = np.argsort(lo, kind="stable")
+    lo, reach = lo[order], np.maximum.accumulate(hi[order])
+    begin = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]])) if len(lo) else np.zeros(0, np.int64)
+    reach = reach[np.append(begin[1:], len(lo)) - 1] if len(lo) else reach
+    own, lo = lo[begin] >> 32, lo[begin] & 0xFFFFFFFF
+    ends = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(column)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(lo, pa.int32()), pa.array(reach & 0xFFFFFFFF, pa.int32())], ["from", "to"]))
+
+
+def _merged(runs: str) -> Column:
+    def merge(column: pa.Array) -> pa.Array:
+        return _merge(column)
+
+    return F.arrow_udf(merge, "array<struct<from:int,to:int>>")(F.col(runs))
+
+
+def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+    """The texts without their runs of lines, in one pass over each."""
+    out = []
+    for text, gone in zip(texts, runs, strict=True):
+        if not text.is_valid or not gone.is_valid:
+            out.append(None)
+            continue
+        all_lines, kept, at = text.as_py().split("\n"), [], 0
+        for r in gone.as_py():
+            kept += all_lines[at : r["from"]]
+            at = r["to"]
+        out.append("\n".join(kept + all_lines[at:]))
+    return pa.array(out, pa.string())
+
+
+def edited(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
+    """(row, text, n_lines, n_deleted): each document's columns in a struct, what is left of its text, the number of its lines and of those
+    deleted. Null and empty texts stay as they are; a text of which nothing is left becomes empty."""
+
+    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        return _cut(texts, runs)
+
+    small_batches(documents.sparkSession)
+    gone = materialise(repeated_runs(documents, min_words, text_col).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs"), "lines-gone")
+    few = (gone.agg(F.sum(F.size("runs"))).first()[0] or 0) <= 1_000_000  # the rows' lists are what a broadcast would hold
+    text = F.col(f"row.{text_col}")
+    named = F.col("row.doc_id").eqNullSafe(F.col("d")) & (text_hash(text) == F.col("t"))
+    both = as_rows(documents).join(lookup(gone) if few else gone.hint("shuffle_hash"), named, "left")
+    # only texts that lose lines go to Python
+    left = F.coalesce(F.arrow_udf(cut, "string")(F.when(F.col("runs").isNotNull(), text.cast("string")), F.col("runs")), text.cast("string"))
+    known = F.coalesce(text.cast("string"), F.lit(""))
+    deleted = F.aggregate(F.coalesce("runs", F.expr("cast(array() as array<struct<from:int,to:int>>)")), F.lit(0), lambda n, r: n + r["to"] - r["from"])
+    return both.select("row", left.alias("text"), (F.length(known) - F.length(F.replace(known, F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), deleted.alias("n_deleted"))
 
 
 def deduplicate(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
-    """documents with the later copies of repeated runs deleted from the text, and _lines, _gone: their numbers before, and deleted. Null and
-    empty texts stay as they are; a text of which nothing is left becomes empty."""
-    gone = materialise(repeated_lines(documents, min_words, text_col).select(F.col("doc_id").alias("_d"), F.col("th").alias("_th"), F.col("gone").alias("_g")), "lines-gone")
-    src = documents.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    # of the two sides only the deletions are built into a table, partition by partition: texts are dealt out but not sorted
-    both = src.join(gone.hint("shuffle_hash"), src["doc_id"].eqNullSafe(gone["_d"]) & (src["_h"] == gone["_th"]), "left")
-    text = F.when(F.col("_g").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.col("_g"), i)), "\n"))
-    return both.select(*[F.col(c) if c != text_col else text.alias(text_col) for c in documents.columns], F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("_lines"), F.coalesce(F.size("_g"), F.lit(0)).alias("_gone"))
+    """documents with the later copies of repeated runs deleted from the text; columns may have any names. Rows alike in id and text are one
+    document. Null and empty texts stay as they are; a text of which nothing is left becomes empty; an empty table stays empty."""
+    return edited(documents, min_words, text_col).select(*[F.col(f"row.`{c}`") if c != text_col else F.col("text").alias(text_col) for c in documents.columns])
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_deleted, text_md5 (of what is left) for every document."""
-    return deduplicate(documents.select("doc_id", "text")).select("doc_id", F.col("_lines").alias("n_lines"), F.when(F.col("_gone") < 0, 0).otherwise(F.col("_gone")).alias("n_deleted"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    """doc_id, n_lines, n_deleted, text_md5 (of what is left) for every document. Nulls, repeats and empties as in deduplicate; a null or empty
+    text has one line."""
+    out = edited(documents.select("doc_id", "text"))
+    return out.select("row.doc_id", "n_lines", "n_deleted", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
-#: The same windows and deletions, by their texts.
+#: By maximal runs: equal lines of two places lie on a diagonal; its unbroken stretches that hold a word are the maximal common runs, whose
+#: later copies go.
 ORACLE_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
-w AS (SELECT *, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY pos) AS upto, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
-win AS (SELECT a.doc_id, a.pos AS s, min(b.pos) AS e FROM w a JOIN w b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
-  UNION SELECT b.doc_id, max(a.pos) AS s, b.pos AS e FROM w b JOIN w a ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.pos),
-named AS (SELECT win.doc_id, s, e, string_agg(line, chr(10) ORDER BY pos) AS body FROM win JOIN l ON l.doc_id = win.doc_id AND pos BETWEEN s AND e GROUP BY ALL),
-f AS (SELECT *, first_value(doc_id) OVER k AS fd, first_value(s) OVER k AS fs FROM named WINDOW k AS (PARTITION BY body, e - s ORDER BY doc_id, s)),
-gone AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN fd = doc_id THEN greatest(s, fs + e - s + 1) ELSE s END, e + 1)) AS pos FROM f WHERE fd <> doc_id OR fs <> s)
+w AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+diagonal AS (SELECT DISTINCT a.doc_id AS d1, b.doc_id AS d2, b.pos - a.pos AS shift FROM w a JOIN w b ON a.line = b.line AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.pos < b.pos)) WHERE a.n > 0),
+equal AS (SELECT d1, d2, shift, b.pos, b.n FROM diagonal JOIN w a ON a.doc_id = d1 JOIN w b ON b.doc_id = d2 AND b.pos = a.pos + shift AND b.line = a.line),
+stretch AS (SELECT *, pos - row_number() OVER (PARTITION BY d1, d2, shift ORDER BY pos) AS s FROM equal),
+run AS (SELECT d2 AS doc_id, min(pos) AS i, max(pos) AS j FROM stretch GROUP BY d1, d2, shift, s HAVING sum(n) > 0),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, j + 1)) AS pos FROM run)
 SELECT l.doc_id, CAST(count(*) AS INT) AS n_lines, CAST(count(g.pos) AS INT) AS n_deleted, md5(coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '')) AS text_md5
 FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id
 """
