@@ -1,7 +1,8 @@
 """Embedding near-dedup by a pivot-permutation index.
 
-Each vector is described by its ordered nearest pivots. Inverted lists by pivot bring vectors together; those that share enough pivots are
-candidates, and the exact cosine in double precision decides. A pair is looked at only in the list of its first shared pivot."""
+Each vector is described by its ordered nearest pivots. Inverted lists by pivot bring vectors together; in a list the pivots that two vectors
+share are counted, those that share enough are candidates, and the exact cosine in double precision decides. A pair is looked at only in the
+list of its first shared pivot. Vectors of each length have an index of their own; where there are few, all pairs are candidates."""
 
 from __future__ import annotations
 
@@ -13,14 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import block_pairs, components, forest, list_array, materialise
+from wachter.llm.common import block_pairs, components, forest, list_array, lookup, map_arrow, materialise
 
 THRESHOLD = 0.9
 #: Pivots that describe a vector, and how many a pair of candidates shares.
 NEAREST, SHARED = 10, 2
-#: The index is fitted on a sample of at most so many distinct vectors, those with the smallest hash; every vector is indexed.
-MAX_PIVOTS, MIN_PIVOTS = 1024, 16
-BLOCK = 512
+#: The index of each length is fitted on a sample of at most so many distinct vectors (2 sqrt(n) of n), those with the smallest hash; every
+#: vector is indexed. Lists so grow as the root of the input.
+MAX_PIVOTS = 65_536
+#: Vectors of a length that need no pivots; vectors in one block of a list, and components at most unless one vector has more.
+FEW, BLOCK, BLOCK_NUMBERS = 1024, 512, 1 << 20
 
 
 def pack(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -38,7 +41,7 @@ def pack(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             dim = [len(x) // 8 if x else None for x in out]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary()), pa.array(dim, pa.int32())], ["id", "packed", "dim"])
 
-    return src.mapInArrow(run, src.select("id").withColumns({"packed": F.lit(b""), "dim": F.lit(0)}).schema.simpleString()[7:-1].replace(":", " "))
+    return map_arrow(src, run, src.select("id").withColumns({"packed": F.lit(b""), "dim": F.lit(0)}).schema.simpleString()[7:-1].replace(":", " "))
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -47,83 +50,115 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def choose_pivots(own: DataFrame, dim: int, n: int) -> np.ndarray:
-    """At most MAX_PIVOTS unit vectors; their number grows with the square root of n, so that lists grow no faster than that."""
-    want = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(2 * math.sqrt(n))))
+    """At most MAX_PIVOTS unit vectors of this length; their number grows with the square root of n."""
+    want = min(MAX_PIVOTS, math.ceil(2 * math.sqrt(n)))
     rows = own.where(F.col("dim") == dim).orderBy("key").limit(2 * want).select("packed").collect()  # at most 2 * MAX_PIVOTS vectors
     x = _unit(np.stack([np.frombuffer(r[0], float) for r in rows]))
-    kept = np.zeros(len(x), bool)
-    for i in range(len(x)):  # pivots that are near copies of each other tell nothing apart
-        kept[i] = kept.sum() < want and not (kept[:i].any() and (x[:i][kept[:i]] @ x[i]).max() > 0.7)
-    return x[kept]
+    kept, k = np.empty((want, dim)), 0
+    for i in range(0, len(x), 256):
+        part, before = x[i : i + 256], k
+        for v in part[(part @ kept[:k].T).max(1) <= 0.7] if k else part:  # pivots that are near copies of each other tell nothing apart
+            if k < want and not (k > before and (kept[before:k] @ v).max() > 0.7):
+                kept[k], k = v, k + 1
+    return kept[:k]
 
 
-def index(own: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """own with near: the numbers of the nearest pivots, nearest first."""
-    sent = own.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors
-    kept = own.columns
+def index(own: DataFrame, pivots: dict[int, np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """own(cid, n, dim, packed) with near: the numbers of the nearest pivots, nearest first; -1 alone for lengths without pivots."""
+    sent = own.sparkSession.sparkContext.broadcast(pivots)  # at most MAX_PIVOTS vectors of each length
+    names = [*own.columns, "near"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = sent.value
-        k = min(nearest, len(p))
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                part = b.slice(i, 2000)
-                x = _unit(np.frombuffer(b"".join(part.column("packed").to_pylist()), float).reshape(-1, p.shape[1]))
-                near = np.argsort(-(x @ p.T), 1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([*part.columns, list_array(near.ravel(), np.full(len(x), k), pa.int32())], [*kept, "near"])
-
-    return own.mapInArrow(run, own.withColumn("near", F.array(F.lit(0))).schema)
-
-
-def _verify(threshold: float, shared: int, n_pivots: int):
+            dims = b.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                rows, p = b.filter(pa.array(dims == dim)), sent.value.get(int(dim))
+                k = 1 if p is None else min(nearest, len(p))
+                step = max(1, min(2000, (1 << 24) // max(int(dim), 1 if p is None else len(p))))
+                for i in range(0, rows.num_rows, step):
+                    part = rows.slice(i, step)
+                    near = np.full((part.num_rows, 1), -1)
+                    if p is not None:
+                        near = np.argsort(-(_unit(np.frombuffer(b"".join(part.column("packed").to_pylist()), float).reshape(-1, dim)) @ p.T), 1, kind="stable")[:, :k]
+                    yield pa.RecordBatch.from_arrays([*part.columns, list_array(near.ravel(), np.full(part.num_rows, k), pa.int32())], names)
+
+    return map_arrow(own, run, own.withColumn("near", F.array(F.lit(0))).schema)
+
+
+def shared_pivots(near: np.ndarray, pivot: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the members of a pivot's list: which pairs share enough pivots, and which of these share an earlier one (and meet there)."""
+    m = len(near)
+    counts, earlier = np.ones((m, m), np.uint8), None
+    order = np.argsort(near, axis=None, kind="stable")
+    value, own = near.ravel()[order], order // near.shape[1]
+    ends = np.flatnonzero(np.append(value[1:] != value[:-1], True)) + 1
+    for i, j in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+        if value[i] >= pivot and earlier is None:
+            earlier = counts > 1
+        if value[i] != pivot and j - i > 1:
+            counts[np.ix_(own[i:j], own[i:j])] += 1
+    near_enough = counts >= min(shared, near.shape[1])
+    np.fill_diagonal(near_enough, False)
+    return near_enough, near_enough & earlier
+
+
+def similar(x: np.ndarray, pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the candidate pairs (symmetric, boolean) have at least this cosine."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    norm = np.sqrt((x * x).sum(1))
+    if pairs.mean() > 0.05:
+        return pairs & (x @ x.T / (norm[:, None] * norm[None, :]) >= threshold)
+    out = np.zeros_like(pairs)
+    i, j = np.nonzero(np.triu(pairs))
+    for k in range(0, len(i), 1 << 14):
+        a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        out[a, b] = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= threshold
+    return out | out.T
+
+
+def _verify(threshold: float, shared: int):
     def run(cell: pa.Table) -> pa.Table:
         pivot, lo, hi = cell.column("pivot")[0].as_py(), cell.column("lo")[0].as_py(), cell.column("hi")[0].as_py()
-        keys, home, size = cell.column("key").to_pylist(), cell.column("home").to_numpy(), cell.column("n").to_numpy()
-        near = np.stack([np.array(x) for x in cell.column("near").to_pylist()])
-        has = np.zeros((len(keys), n_pivots), np.float32)
-        np.put_along_axis(has, near, 1, 1)
-        near_enough = has @ has.T >= min(shared, near.shape[1])
-        np.fill_diagonal(near_enough, False)
-        pairs = near_enough & (has[:, :pivot] @ has[:, :pivot].T == 0)
+        cid, home, size = cell.column("cid").to_numpy(), cell.column("home").to_numpy(), cell.column("n").to_numpy()
+        near = cell.column("near").combine_chunks().flatten().to_numpy().reshape(len(cid), -1)
+        near_enough, elsewhere = shared_pivots(near, pivot, shared) if pivot >= 0 else (~np.eye(len(cid), dtype=bool), np.zeros((len(cid), len(cid)), bool))
+        every = similar(np.frombuffer(b"".join(cell.column("packed").to_pylist()), float).reshape(len(cid), -1), near_enough, threshold)
+        link = every & ~elsewhere
         if lo != hi:
-            pairs &= home[:, None] != home[None, :]
-        raw = np.frombuffer(b"".join(cell.column("packed").to_pylist()), float).reshape(len(keys), -1)
-        raw = raw / np.abs(raw).max(1, keepdims=True)
-        norm = np.sqrt((raw * raw).sum(1))
-        every = near_enough & (raw @ raw.T / (norm[:, None] * norm[None, :]) >= threshold)
-        link = pairs & every
+            link &= home[:, None] != home[None, :]
         top, linked = forest(every, home), link @ size
-        some = np.flatnonzero(link.any(1) | (top != np.arange(len(keys))))
-        return pa.table({"a": pa.array([keys[i] for i in some], pa.string()), "b": pa.array([keys[top[i]] for i in some], pa.string()), "linked": pa.array(linked[some], pa.int64()), "candidates": pa.array(pairs[some].sum(1), pa.int64())})
+        some = np.flatnonzero(link.any(1) | (top != np.arange(len(cid))))
+        return pa.table({"a": cid[some], "b": cid[top[some]], "linked": pa.array(linked[some], pa.int64())})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED) -> DataFrame:
-    """One row a vector: id, n_links, component (smallest id reachable), kept. Equal vectors are one class, searched once. Null, empty and
-    zero vectors, those with null or non-finite components, and those of another length than most link with nothing and are kept. A row
-    without id links like any other, but gives no id. An empty table gives no rows."""
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = THRESHOLD, nearest: int = NEAREST, shared: int = SHARED, few: int = FEW) -> DataFrame:
+    """One row a vector: id, n_links, component (smallest id reachable), kept. Equal vectors are one class, searched once; vectors of different
+    lengths link with each other never. Null, empty and zero vectors and those with null or non-finite components link with nothing and are
+    kept. A row without id links like any other, but gives no id. An empty table gives no rows."""
     rows = materialise(pack(vectors, id_col, vec_col).withColumn("key", F.md5("packed")), "embedding-rows")
-    dims = rows.where("packed is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    alone = rows.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    if not dims:
-        return alone.withColumn("kept", F.lit(True))
-    dim = dims[0][0]
-    own = materialise(rows.where(F.col("dim") == dim).groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("packed").alias("packed")).withColumn("dim", F.lit(dim)), "embedding-classes")
-    pivots = choose_pivots(own, dim, own.count())
-    lists = materialise(index(own.select("key", "n", "packed"), pivots, nearest), "embedding-index").withColumn("pivot", F.explode("near"))
-    cells = block_pairs(lists, "pivot", "key", BLOCK).groupBy("pivot", "lo", "hi")
-    links = materialise(cells.applyInArrow(_verify(threshold, shared, len(pivots)), "a string, b string, linked long, candidates long"), "embedding-links")
-    comps = components(links.select("a", "b").where("a <> b").distinct(), "embedding-components")
-    whole = own.select("key", "low", "n").join(links.groupBy(F.col("a").alias("key")).agg(F.sum("linked").alias("linked")), "key", "left").join(comps.select(F.col("id").alias("key"), F.col("component").alias("comp")), "key", "left")
-    whole = whole.withColumn("comp", F.coalesce("comp", "key")).withColumn("linked", F.coalesce("linked", F.lit(0)))
-    low = whole.groupBy("comp").agg(F.min("low").alias("component"))
-    found = whole.join(low, "comp").select("key", (F.col("n") - 1 + F.col("linked")).alias("n_links"), "component")
-    linked = rows.where(F.col("dim") == dim).join(found, "key").select("id", "n_links", "component")
-    rest = rows.where(F.col("dim").isNull() | (F.col("dim") != dim)).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
-    return linked.union(rest).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.col("n_links") == 0))
+    own = rows.where("packed is not null").groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n"), F.first("packed").alias("packed"), F.first("dim").alias("dim"))
+    own = materialise(own.withColumn("cid", F.monotonically_increasing_id()), "embedding-classes")
+    many = own.groupBy("dim").count().where(F.col("count") > few).collect()  # a row for each length that needs an index
+    pivots = {r["dim"]: choose_pivots(own, r["dim"], r["count"]) for r in many}
+    lists = materialise(index(own.select("cid", "n", "dim", "packed"), pivots, nearest), "embedding-index").withColumn("pivot", F.explode("near"))
+    lists = lists.withColumn("list", F.shiftleft(F.col("dim").cast("long"), 32) + F.col("pivot"))
+    cells = block_pairs(lists, "list", "cid", BLOCK, "dim", BLOCK_NUMBERS).groupBy("list", "lo", "hi")
+    links = materialise(cells.applyInArrow(_verify(threshold, shared), "a long, b long, linked long"), "embedding-links")
+    comps = components(links.select("a", "b").where("a <> b"), "embedding-components")
+    linked = links.groupBy(F.col("a").alias("cid")).agg(F.sum("linked").alias("linked"))
+    told = materialise(comps.select(F.col("id").alias("cid"), "component").join(linked, "cid", "left").join(own.select("cid", "key", "low", "n"), "cid"), "embedding-linked")
+    low = materialise(told.groupBy("component").agg(F.min("low").alias("lowest")), "embedding-lowest")
+    found = told.join(lookup(low), "component").select("key", "n", F.coalesce("linked", F.lit(0).cast("long")).alias("linked"), "lowest")
+    alone = own.where("n > 1").join(told.select("cid"), "cid", "left_anti").select("key", "n", F.lit(0).cast("long").alias("linked"), F.col("low").alias("lowest"))
+    found = materialise(found.union(alone), "embedding-result").withColumnRenamed("key", "_key")
+    out = rows.select("id", "key").join(lookup(found), F.col("key") == F.col("_key"), "left")
+    is_linked = F.col("_key").isNotNull()
+    out = out.select("id", F.when(is_linked, F.col("n") - 1 + F.col("linked")).otherwise(F.lit(0)).alias("n_links"), F.when(is_linked, F.col("lowest")).otherwise(F.col("id")).alias("component"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.col("n_links") == 0))
 
 
 def digest(embeddings: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
+    """vec_id, n_links, component_id, kept; nulls, repeats, ties and empties as in near_duplicates."""
     return near_duplicates(embeddings).select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
