@@ -1,21 +1,23 @@
 """Benchmark decontamination: template windows joined by hash, decided by coverage and slot consistency.
 
-Numbers, names and units become typed placeholders, so a benchmark item still matches when its values have been changed. A match counts
-only if the values stand to each other one to one: the same value of the item is always the same value in the document. Names are known by
+Numbers, names and units become typed placeholders, so a benchmark item still matches when its values have been changed. A window counts
+only if its values stand one to one with those of the whole alignment: the same value of the item is always the same value in the document.
+A changed value thus costs the windows that hold it. Names are known by
 their capitals, so windows are also joined with names as lower-case words: a copy in capitals or in small letters matches by these.
 Windows with too few literal words for a template are joined by their exact lower-case words."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import U64, Tokens, list_array, materialise, mix, regroup, shingle_hashes
+from wachter.llm.common import U64, Tokens, list_array, lookup, map_arrow, materialise, mix, regroup, shingle_hashes, text_hash, without
 
 WINDOW, SHARE, MIN_LITERALS = 8, 0.5, 4
 FILTER_BITS = 1 << 24
@@ -115,7 +117,7 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW, min_literals: int =
                     ids = b.column("item_id").take(pa.array(text[take]))
                     yield pa.RecordBatch.from_arrays([ids, *_emit(t, k, text, pos, h, take, t.slot), *(pa.array(np.full(int(take.sum()), x), pa.int32()) for x in (k, kind)), pa.array(windows, pa.int64()), pa.array(every, pa.int64())], ["item_id", "b_pos", "h", "b_slots", "n", "kind", "windows", "every"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = SHARE, min_literals: int = MIN_LITERALS) -> DataFrame:
@@ -129,11 +131,11 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     if words:
         table[list(words)] = list(words.values())
     sent = documents.sparkSession.sparkContext.broadcast(table)
-    src = documents.select(F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("_text"))
+    src = documents.select(F.col("doc_id"), text_hash("text").alias("text_hash"), F.col("text").cast("string").alias("_text"))
     schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", d_pos long, h long, d_slots array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regroup(batches, 8 << 20):
+        for b in regroup(batches):
             t = Templates(b.column("_text"))
             shown = np.ones(len(t.value), bool)  # the item knows which of them are slots
             for kind, k in sorts if len(t.value) else []:
@@ -144,23 +146,53 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
                     own = pa.array(text[take])
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(own), b.column("text_hash").take(own), *_emit(t, k, text, pos, h, take, shown)], ["doc_id", "text_hash", "d_pos", "h", "d_slots"])
 
-    hits = src.mapInArrow(run, schema).join(bench, "h")
-    runs = hits.withColumn("_pairs", F.filter(F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d"))), lambda p: p["b"] != 0))
+    hits = map_arrow(src, run, schema).join(lookup(bench), "h")
+    pairs = F.array_sort(F.array_distinct(F.filter(F.zip_with("b_slots", "d_slots", lambda x, y: F.struct(x.alias("b"), y.alias("d"))), lambda p: p["b"] != 0)))
+    runs = hits.withColumn("window", F.struct("b_pos", pairs.alias("pairs")))
     runs = runs.withColumn("rule", F.explode(F.array("kind", F.lit(ANY)))).where(F.col("rule") != EXACT).withColumn("windows", F.when(F.col("rule") == ANY, F.col("every")).otherwise(F.col("windows")))
-    # an item's words bound the pairs of one alignment
-    runs = runs.groupBy("doc_id", "text_hash", "item_id", "rule", "windows", (F.col("d_pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("b_pos").alias("found"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("pairs"), F.min("d_pos").alias("at"))
-    one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["d"]))) == F.size("pairs"))
-    got = runs.where(one).groupBy("doc_id", "text_hash", "item_id", "rule", "windows").agg(F.size(F.array_distinct(F.flatten(F.collect_set("found")))).cast("long").alias("matched"), F.min("at").alias("at"))
+    # an item's words bound the windows of one alignment
+    runs = runs.groupBy("doc_id", "text_hash", "item_id", "rule", "windows", (F.col("d_pos") - F.col("b_pos")).alias("shift")).agg(F.collect_set("window").alias("held"))
+    own = runs.groupBy("doc_id", "text_hash", "item_id", "rule", "windows").agg(F.collect_list(F.struct("shift", "held")).alias("runs"))
+    enough = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda r: r["held"]["b_pos"])))) >= F.col("windows") * share
+    got = own.where(enough).withColumn("_f", _consistent("runs")).select("doc_id", "text_hash", "item_id", "rule", "windows", "_f.matched", "_f.at")
     best = got.where(F.col("matched") >= F.col("windows") * share).groupBy("doc_id", "text_hash", "item_id").agg(F.min(F.struct("rule", "matched", "windows", "at")).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", "b.matched", "b.windows", "b.at")
 
 
+def _one_to_one(held: list[dict]) -> list[int]:
+    """The windows of an alignment whose slots agree. A value of the item stands for one value of the document and the other way round; the
+    pairs that most windows hold are taken first (of equals the smallest), and a window with another pair is out."""
+    votes = Counter((p["b"], p["d"]) for w in held for p in w["pairs"])
+    left: dict[int, int] = {}
+    right: dict[int, int] = {}
+    for (b, d), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+        if b not in left and d not in right:
+            left[b], right[d] = d, b
+    return [w["b_pos"] for w in held if all(left.get(p["b"]) == p["d"] for p in w["pairs"])]
+
+
+def _consistent(runs: str) -> Column:
+    """(matched, at) of array<struct<shift, held>>: distinct windows of the item that some alignment holds with agreeing slots, and the first
+    word of the first of them in the document. Only documents with enough windows come here."""
+
+    def count(column: pa.Array) -> pa.Array:
+        matched, at = [], []
+        for alignments in column.to_pylist():
+            good = [(r["shift"] + b, b) for r in alignments for b in _one_to_one(r["held"])]
+            matched.append(len({b for _, b in good}))
+            at.append(min((p for p, _ in good), default=None))
+        return pa.StructArray.from_arrays([pa.array(matched, pa.int64()), pa.array(at, pa.int64())], ["matched", "at"])
+
+    return F.arrow_udf(count, "matched long, at long")(F.col(runs))
+
+
 def digest(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row a contaminated document and item."""
+    """One row a contaminated document and item. Null and empty texts and items match nothing; rows alike in id and text count once; an empty
+    table or benchmark gives no rows."""
     return matches(documents, benchmark).select("doc_id", "item_id", "matched", "windows", "at")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without those that hold a benchmark item."""
-    bad = materialise(matches(documents, benchmark).select("text_hash").distinct(), "contaminated")
-    return documents.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(bad.withColumnRenamed("text_hash", "_h"), "_h", "left_anti").select(*documents.columns)
+    """documents without those that hold a benchmark item. Null and empty texts stay, repeated rows go together, an empty table or benchmark
+    changes nothing; columns may have any names."""
+    return without(documents, materialise(matches(documents, benchmark).select("doc_id", F.col("text_hash").alias("th")).distinct(), "contaminated"))
