@@ -38,6 +38,22 @@ class Detector:
         raise NotImplementedError
 
 
+#: Bytes of baselines that every task may hold.
+LOOKUP_BYTES = 64 << 20
+
+
+def with_baseline(frames: DataFrame, baseline: DataFrame, row_bytes: int) -> DataFrame:
+    """frames with their session's baseline(session_id, ...) of about so many bytes a row. Few sessions are broadcast, after they were counted, so
+    that frames stay where they are; many are joined in chunks of a session's frames, so that a session of days is many tasks."""
+    if baseline.count() * row_bytes <= LOOKUP_BYTES:
+        return frames.join(F.broadcast(baseline), "session_id")
+    # each frame goes to one of the copies of its session's row: as many as tasks, not as frames
+    n = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = baseline.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = frames.withColumn("_chunk", F.pmod(F.floor(F.col("idx") / 256), F.lit(n)).cast("int"))
+    return dealt.join(copies.hint("shuffle_hash"), ["session_id", "_chunk"]).drop("_chunk")
+
+
 def pixels(row: dict) -> np.ndarray:
     """The image of a frame's row."""
     return np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], row["channels"])

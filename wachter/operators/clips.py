@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_join(points: DataFrame, spans: DataFrame, keys: list[str], t: str, low: str, high: str, width: float) -> DataFrame:
+    """points with the spans of the same keys that their t lies in, ends included. Both meet in buckets of this width, so that it is an
+    equi-join; a span is copied once for each bucket that it reaches."""
+    e = spans.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))))
+    f = points.withColumn("_bucket", F.floor(F.col(t) / width))
+    return f.join(e, [*keys, "_bucket"]).where((F.col(t) >= F.col(low)) & (F.col(t) <= F.col(high))).drop("_bucket")
+
+
 def clip_frames(frames: DataFrame, events: DataFrame, lead: float = 1.0, max_clip: float = 6.0) -> DataFrame:
     """(event columns' keys, idx, t): the frames of each event from lead before its start until it closed, at most lead + max_clip after the
-    first of them. Range join by time buckets as long as a clip, so that it is an equi-join; frames' pixels are joined on later."""
+    first of them. Buckets are as long as a clip; frames' pixels are joined on later."""
     span = max(lead + max_clip, 1e-3)
     first = F.col("start") - lead
-    e = events.select("session_id", "anomaly_id", "start", first.alias("_a"), F.least(first + lead + max_clip, F.coalesce(F.col("closed_at"), F.lit(float("inf")))).alias("_b"))
-    e = e.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_a") / span), F.floor((F.col("_a") + span) / span))))
-    f = frames.select("session_id", "idx", "t").withColumn("_bucket", F.floor(F.col("t") / span))
-    hit = f.join(e, ["session_id", "_bucket"]).where((F.col("t") >= F.col("_a")) & (F.col("t") <= F.col("_b")))
+    e = events.select("session_id", "anomaly_id", "start", first.alias("_a"), F.least(first + span, F.coalesce(F.col("closed_at"), F.lit(float("inf")))).alias("_b"))
+    hit = range_join(frames.select("session_id", "idx", "t"), e, ["session_id"], "t", "_a", "_b", span)
     # the clip's own first frame, not the nominal lead, starts its length
     w = Window.partitionBy("session_id", "anomaly_id", "start")
     hit = hit.withColumn("_f", F.min("t").over(w)).where(F.col("t") <= F.col("_f") + lead + max_clip)

@@ -6,7 +6,10 @@ suppressors: only raw readings take part, so no grid of frames and ids is ever b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -86,12 +89,50 @@ def episodes(fired: DataFrame, cooldown: float) -> DataFrame:
     return h.withColumn("last_fire", F.when(F.col("fire"), F.col("t")).otherwise(F.col("_lf"))).drop("_lf", "_pt", "_pf", "_new")
 
 
+@lru_cache(4096)
+def kept_points(n: int, most: int) -> np.ndarray:
+    """Which of n points a timeline holds that has grown under the cap, ascending, some twice: whenever a point makes it longer than that, every
+    second point stays and the last once more. It depends on numbers alone, and takes time in proportion to n."""
+    kept = np.arange(min(n, most))
+    at = len(kept)
+    while at < n:
+        more = min(max(1, most - len(kept) + 1), n - at)
+        kept = np.concatenate([kept, np.arange(at, at + more)])
+        at += more
+        if len(kept) > most:
+            kept = np.append(kept[::2], kept[-1])
+    return kept
+
+
+def _copies(place: Column, n: Column, most: int) -> Column:
+    """How often the point at this place (from 1) of n is in the timeline."""
+
+    def count(place: pa.Array, n: pa.Array) -> pa.Array:
+        at, of, out = place.to_numpy() - 1, n.to_numpy(), np.ones(len(n), np.int32)
+        for m in np.unique(of[of > most]):
+            here = of == m
+            out[here] = np.bincount(kept_points(int(m), most), minlength=int(m))[at[here]]
+        return pa.array(out, pa.int32())
+
+    return F.arrow_udf(count, "int")(place.cast("long"), n.cast("long"))
+
+
 def capped(points: Column, most: int) -> Column:
-    """A timeline as it grows under the cap: whenever a point makes it longer than that, every second point stays and the last once more."""
-    add = lambda acc, p: F.concat(acc, F.array(p))
-    halve = lambda a: F.concat(F.filter(a, lambda _, i: i % 2 == 0), F.slice(a, -1, 1))
-    none = F.filter(points, lambda _: F.lit(False))
-    return F.when(F.size(points) <= most, points).otherwise(F.aggregate(points, none, lambda acc, p: F.when(F.size(acc) < most, add(acc, p)).otherwise(halve(add(acc, p)))))
+    """A whole timeline under the cap."""
+
+    def chosen(n: pa.Array) -> pa.Array:
+        return pa.array([kept_points(x, most) for x in n.to_pylist()], pa.list_(pa.int64()))
+
+    return F.transform(F.arrow_udf(chosen, "array<long>")(F.size(points).cast("long")), lambda i: F.get(points, i.cast("int")))
+
+
+def _timelines(h: DataFrame, rules: Rules) -> DataFrame:
+    """(keys, episode, timeline) of open readings. Points beyond the cap are dropped before any list is made: a list never holds more."""
+    mine = Window.partitionBy(*_BY, "episode")
+    open_ = h.where("open").select(*_BY, "episode", "t", F.col("intensity").alias("v"))
+    open_ = open_.withColumn("_i", F.row_number().over(mine.orderBy("t"))).withColumn("_n", F.count("*").over(mine)).withColumn("_m", _copies(F.col("_i"), F.col("_n"), rules.max_points)).where("_m > 0")
+    points = F.array_sort(F.collect_list(F.struct("t", "v", "_m")))
+    return open_.groupBy(*_BY, "episode").agg(F.flatten(F.transform(points, lambda p: F.array_repeat(F.struct(p["t"].alias("t"), p["v"].alias("v")), p["_m"]))).alias("timeline"))
 
 
 def detect_events(readings: DataFrame, edges: DataFrame | None, rules: Rules = Rules(), timelines: bool = True) -> DataFrame:
@@ -101,11 +142,10 @@ def detect_events(readings: DataFrame, edges: DataFrame | None, rules: Rules = R
     h = episodes(firing(readings, edges, rules), rules.cooldown).where("episode > 0")
     fire = F.col("fire")
     closes = ~fire & F.col("open") & (F.col("t") - F.col("last_fire") >= rules.cooldown)
-    points = [F.array_sort(F.collect_list(F.when(F.col("open"), F.struct("t", F.col("intensity").alias("v"))))).alias("timeline")] if timelines else []
-    ev = h.groupBy(*_BY, "episode").agg(F.min_by("detector", F.when(fire, F.col("t"))).alias("detector"), F.min(F.when(fire, F.col("t"))).alias("start"), F.max(F.when(fire, F.col("t"))).alias("end"), F.max(F.when(fire, F.col("intensity"))).alias("max_intensity"), F.min_by("threshold", F.when(fire, F.col("t"))).alias("threshold"), F.min(F.when(closes, F.col("t"))).alias("closed_at"), *points)
+    ev = h.groupBy(*_BY, "episode").agg(F.min_by("detector", F.when(fire, F.col("t"))).alias("detector"), F.min(F.when(fire, F.col("t"))).alias("start"), F.max(F.when(fire, F.col("t"))).alias("end"), F.max(F.when(fire, F.col("intensity"))).alias("max_intensity"), F.min_by("threshold", F.when(fire, F.col("t"))).alias("threshold"), F.min(F.when(closes, F.col("t"))).alias("closed_at"))
     ev = ev.withColumn("duration", F.col("end") - F.col("start")).where(F.col("duration") >= rules.min_duration)
     if timelines:
-        ev = ev.withColumn("timeline", F.filter(capped(F.col("timeline"), rules.max_points), lambda p: p["t"] <= F.col("end")))
+        ev = ev.join(_timelines(h, rules), [*_BY, "episode"]).withColumn("timeline", F.filter("timeline", lambda p: p["t"] <= F.col("end")))
     return ev.select(*_BY, "detector", "start", "end", "duration", "max_intensity", "threshold", "closed_at", *(["timeline"] if timelines else []))
 
 

@@ -15,7 +15,7 @@ from wachter.functions.image import bounding_box, components, dilate, gray
 from wachter.functions.ocr import read_text
 from wachter.functions.text import text_distance
 from wachter.functions.thresholds import robust_thresholds, with_floor_for_missing
-from wachter.operators.base import Calibration, Detector, pixels
+from wachter.operators.base import Calibration, Detector, pixels, with_baseline
 from wachter.operators.signals import toggle_summary, toggles
 
 #: Of an element's bright pixels, the share that counts as visible in the calibration, whatever visible_fraction says. Fixed value.
@@ -102,7 +102,8 @@ class HudDetector(Detector):
                         out.append(row)
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
-        return frames.join(packed, "session_id").mapInArrow(run, _MEASURE)
+        # some elements in JSON
+        return with_baseline(frames, packed, 64 << 10).mapInArrow(run, _MEASURE)
 
     def deviations(self, measured: DataFrame, elements: DataFrame) -> DataFrame:
         e = elements.select("session_id", "element", "box", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), "area", "text")

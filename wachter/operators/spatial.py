@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wachter.functions.image import dilate, good_corners, gray, pyramid, track
 from wachter.functions.thresholds import robust_thresholds, with_floor_for_missing
-from wachter.operators.base import Calibration, Detector, pixels, stride_sample
+from wachter.operators.base import Calibration, Detector, pixels, stride_sample, with_baseline
 
 DISTORTION = "spatial/distortion"
 _LEVELS = 3
@@ -90,7 +90,9 @@ class SpatialDetector(Detector):
                     out.append({"session_id": r["session_id"], "t": r["t"], "intensity": float(np.sort(d)[-max(k, 1)]) if k else 0.0, "moved": [{"x": x, "y": y, "d": v} for (x, y), v in zip(p.tolist(), d.tolist(), strict=True)]})
                 yield pa.RecordBatch.from_pylist(out, kinds)
 
-        return frames.select("session_id", "t", "height", "width", "channels", "data").join(b, "session_id").mapInArrow(run, "session_id string, t double, intensity double, moved array<struct<x:double,y:double,d:double>>")
+        # a gray image of at most 4K
+        f = with_baseline(frames.select("session_id", "idx", "t", "height", "width", "channels", "data"), b, 8 << 20).drop("idx")
+        return f.mapInArrow(run, "session_id string, t double, intensity double, moved array<struct<x:double,y:double,d:double>>")
 
     def calibrate(self, frames: DataFrame) -> Calibration:
         c = self.config
