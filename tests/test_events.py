@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from wachter.operators import events as E
 from wachter.operators.suppression import edge_table, edges_of, expand
-from wachter.streaming.live import Signals, by_target, run_available
+from wachter.sources.store import Store
+from wachter.streaming.live import LiveSession, Signals, append_readings, by_target, end_marks, run_available
 
 SCHEMA = "session_id string, t double, anomaly_id string, intensity double, threshold double, detector string"
 RULES = {"a/*": ["b/*"], "c": ["*"], "b/1": ["a/1"], "b/*": ["d"]}
@@ -55,13 +57,48 @@ def test_stream_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA)
     for k in range(4):  # four files in order of time, and an end mark for each session
         part = df.where(f"t >= {k} * 1.5" + (f" and t < {k + 1} * 1.5" if k < 3 else ""))
-        if k == 3:
-            part = part.union(df.selectExpr("session_id", "1e9D", "cast(null as string)", "0D", "0D", "''").distinct())
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    out = run_available(str(tmp_path / "in"), spark, SCHEMA, edges, rules, str(tmp_path / "out"), str(tmp_path / "cp"))
+        append_readings(part.unionByName(end_marks(df)) if k == 3 else part, str(tmp_path / "in"))
+    out = run_available(str(tmp_path / "in"), spark, edges, rules, str(tmp_path / "out"), str(tmp_path / "cp"))
     assert {key(r.asDict(recursive=True)) for r in out.collect()} == {key(e) for e in machine(rows, rules, edges)}
 
 
+def test_live_session(spark, tmp_path):
+    """Events are in the store while the session runs, keep their numbers, survive a restart, and are whole after the stop."""
+    rows, edges, rules = [r for r in sessions(12, 5, [0.0]) if r[0] == "s8"], [], E.Rules(0.1, 0.05, 0.0)
+    df, store, folder = spark.createDataFrame(rows, SCHEMA), Store(spark, str(tmp_path / "db")), str(tmp_path / "in")
+    half = max(r[1] for r in rows) / 2
+    store.create_session("s8", "n", "live", 20.0, 1.0)
+    append_readings(df.where(f"t < {half}"), folder)
+    live = LiveSession(store, "s8", folder, edges, rules).start()
+    live.query.processAllAvailable()
+    before = {r["id"]: r["start"] for r in store.list_events("s8").collect()}
+    live.query.stop()
+    append_readings(df.where(f"t >= {half}"), folder)
+    live = LiveSession(store, "s8", folder, edges, rules).start()
+    live.stop(9.0)
+    want = sorted((e["anomaly_id"], e["start"], e["end"], e["max_intensity"]) for e in machine(rows, rules, edges))
+    after = store.list_events("s8").collect()
+    assert before and len(before) < len(after) and all(next(r["start"] for r in after if r["id"] == i) == t for i, t in before.items())
+    assert sorted((r["anomaly_id"], r["start"], r["end"], r["max_intensity"]) for r in after) == want and [r["id"] for r in sorted(after, key=lambda r: r["id"])] == list(range(1, len(after) + 1))
+    assert store.get_session("s8").first()["status"] == "completed" and {r["id"]: r["n_events"] for r in store.overview().collect()} == {"s8": len(after)}
+    with pytest.raises(RuntimeError):
+        live.stop()
+    again = store.list_events("s8").drop("id").withColumn("closed_at", F.lit(None).cast("double"))
+    store.append_events(again.limit(1), 77)
+    store.append_events(again.limit(1), 77)  # a batch that is run again
+    assert store._live().where("session_id = 's8'").count() == len(after) + 1 and store.list_events("s8").count() == len(after)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3, 7, 50])
+def test_kept_points(most):
+    held = []
+    for n in range(400):
+        assert E.kept_points(n, most).tolist() == held
+        held = [*held, n]
+        if len(held) > most:
+            held = [*held[::2], held[-1]]
+
+
 def run(spark, pattern, n=100, ids=("x",), step=0.1, rules=E.Rules(0.5, 0.4, 2.5), edges=(), **kw):
     rows = [("s", i * step, a, 5.0 if pattern(i * step) else 0.0, 1.0, "d") for i in range(n) for a in ids]
     e = spark.createDataFrame(list(edges), "sup string, tgt string") if edges else None

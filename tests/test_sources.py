@@ -64,8 +64,13 @@ def test_capture(spark):
 
 
 def test_rate_limit(spark):
-    a = spark.createDataFrame([("s", t) for t in (0.0, 0.05, 0.1, 0.2, 0.3)] + [("r", 5.0)], "session_id string, at double")
+    a = spark.createDataFrame([("s", t, "x") for t in (0.0, 0.05, 0.1, 0.2, 0.3)] + [("r", 5.0, "x"), ("s", None, "x")], "session_id string, at double, more string")
     got = capture.rate_limit(a, 10.0).orderBy("session_id", "idx").collect()
+    assert {(r["more"], r["t"]) for r in got} == {("x", k / 10) for k in range(len(got) - 1)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # what is kept goes over the batches
+    small = capture.rate_limit(a, 10.0).orderBy("session_id", "idx").collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert small == got and capture.rate_limit(a.limit(0), 10.0).count() == 0
     assert [(r["session_id"], r["at"], r["idx"]) for r in got] == [("r", 5.0, 0), ("s", 0.0, 0), ("s", 0.1, 1), ("s", 0.2, 2)] + ([("s", 0.3, 3)] if len(got) == 5 else [])
 
 
@@ -94,6 +99,37 @@ def test_data_source(spark):
     assert [r["idx"] for r in rows] == list(range(5)) and (np.frombuffer(rows[3]["data"], np.uint8) == Scene().frame(3 / 20, 3).ravel()).all()
 
 
+def open_fake(device, options):
+    return Fake(60)
+
+
+def test_capture_stream(spark, tmp_path):
+    spark.dataSource.register(capture.CaptureDataSource)
+    source = spark.readStream.format("wachter_capture").option("device", "0").option("connect", "tests.test_sources:open_fake").option("frames_per_batch", 20).option("processing_fps", 1000000).load()
+    q = source.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    for _ in range(100):
+        q.processAllAvailable()
+        if spark.read.parquet(str(tmp_path / "out")).count() >= 59:
+            break
+    q.stop()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["idx"] for r in got.collect()) == list(range(59))  # the first was taken for the size
+    with pytest.raises(SourceError):
+        capture.CaptureStreamReader({"device": "0"})
+
+
+def test_recording_and_pace(spark, tmp_path):
+    s = capture.CaptureSource({"device": 0, "processing_fps": 1000000}, lambda d, o: Fake(1000))
+    assert s.frames(spark, 250).count() == 250
+    out = str(tmp_path / "rec")
+    assert s.record(spark, out, 100, 230) == 230
+    f = FrameFileSource({"path": out, "fps": 20, "realtime": True})
+    assert f.pace(100) == {"processingTime": "5000 milliseconds"} and FrameFileSource({"path": out, "fps": 20}).pace(100) == {"availableNow": True}
+    q = f.stream(spark).writeStream.format("parquet").option("path", str(tmp_path / "o")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 230
+
+
 def test_phases(spark):
     f = spark.createDataFrame([("s", i, i / 20) for i in range(400)] + [("u", i, i / 20) for i in range(3)], "session_id string, idx long, t double")
     a, b = split_phases(f, 10.0)

@@ -4,19 +4,25 @@ test's list; the capture library itself is the caller's."""
 from __future__ import annotations
 
 import glob
+import importlib
+import itertools
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from wachter.functions.image import resize_area
+from wachter.schemas import FRAMES
 from wachter.sources import FrameSource, SourceError
+from wachter.work import work_path
 
+#: A frame table's columns.
+_FRAME = FRAMES.removeprefix("session_id string, ")
 MAX_PROBE, BURST = 10, 20
 
 
@@ -64,27 +70,43 @@ def processing_size(native: tuple[int, int], config: dict) -> tuple[int, int] |
     return w, h if h is not None else max(1, int(round(native[1] * (w / native[0]))))
 
 
-def emitted(times: np.ndarray, fps: float) -> np.ndarray:
-    """Which of the times are passed on: the first, and each that is not less than 1 / fps after the last that was."""
-    keep, last, gap = np.zeros(len(times), bool), None, 1.0 / fps if fps > 0 else 0.0
-    for i, t in enumerate(times):
+def emitted(times: np.ndarray, fps: float, last: float | None = None) -> np.ndarray:
+    """Which of the times are passed on: the first, and each that is not less than 1 / fps after the last that was (last: before these)."""
+    keep, gap = np.zeros(len(times), bool), 1.0 / fps if fps > 0 else 0.0
+    for i, t in enumerate(times.tolist()):
         if last is None or not t - last < gap:
             keep[i], last = True, t
     return keep
 
 
 def rate_limit(arrivals: DataFrame, fps: float, key: str = "session_id", time_col: str = "at") -> DataFrame:
-    """The arrivals that a limited stream passes on, with idx (their number) and t = idx / fps. Each one passed on is what the next is
-    measured against, so a session is walked in order; only times go to Python, its other columns are joined back on."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(time_col, kind="stable", ignore_index=True)
-        out = pdf[emitted(pdf[time_col].to_numpy(), fps)].copy()
-        out["idx"] = np.arange(len(out))
-        return out
-
-    kind = arrivals.schema[key].dataType.simpleString()
-    passed = arrivals.select(key, time_col).groupBy(key).applyInPandas(run, f"{key} {kind}, {time_col} double, idx long")
+    """The arrivals that a limited stream passes on, with all their columns, idx (their number) and t = idx / fps. Each one passed on is what the
+    next is measured against, so a session is walked in order: partitions are sorted by session and time and read batch by batch, and all
+    that is kept between batches is the session's last time and number."""
+    names = [c for c in arrivals.columns if c not in ("idx", "t")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, n = None, None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, times = b.column(key), b.column(time_col).to_numpy(zero_copy_only=False)
+            ends = np.flatnonzero(np.append([x != y for x, y in zip(keys.to_pylist(), keys.to_pylist()[1:], strict=False)], True)) + 1
+            keep, idx = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+            for i, j in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+                k = keys[int(i)].as_py()
+                if now is None or now[0] != k:
+                    now, last, n = (k,), None, 0
+                keep[i:j] = emitted(times[i:j], fps, last)
+                mine = np.flatnonzero(keep[i:j]) + i
+                idx[mine] = n + np.arange(len(mine))
+                if len(mine):
+                    last, n = float(times[mine[-1]]), n + len(mine)
+            out = b.append_column("idx", pa.array(idx)).filter(pa.array(keep))
+            yield out.select([*names, "idx"])
+
+    src = arrivals.select(*names).where(F.col(time_col).isNotNull()).repartition(key).sortWithinPartitions(key, time_col)
+    passed = src.mapInArrow(run, src.withColumn("idx", F.lit(0).cast("long")).schema)
     return passed.withColumn("t", F.col("idx") / F.lit(float(fps)))
 
 
@@ -136,32 +158,77 @@ class CaptureSource(FrameSource):
             idx += 1
 
     def frames(self, spark: SparkSession, most: int | None = None) -> DataFrame:
-        """A finite recording of the stream. A live one is written to files by record() and read with FrameFileSource.stream()."""
-        rows = []
-        for i, t, m in self.read():
-            rows.append((i, t, m.shape[0], m.shape[1], m.shape[2] if m.ndim == 3 else 1, m.tobytes()))
-            if most and len(rows) >= most:
-                break
-        return spark.createDataFrame(rows, "idx long, t double, height int, width int, channels int, data binary")
+        """A finite recording: the stream goes to a work table file by file, so the driver holds one file's frames. most: ends it after so many;
+        an endless stream needs it, or is read with format("wachter_capture")."""
+        path = work_path(spark, "capture")
+        n = self.record(spark, path, most=most)
+        return spark.read.schema(_FRAME).parquet(path) if n else spark.createDataFrame([], _FRAME)
 
-    def record(self, spark: SparkSession, path: str, frames_per_file: int = 200) -> int:
+    def record(self, spark: SparkSession, path: str, frames_per_file: int = 200, most: int | None = None) -> int:
         """Appends the stream to a frame table, file by file; returns the number of frames."""
-        n, held = 0, []
-        schema = "idx long, t double, height int, width int, channels int, data binary"
-        for i, t, m in self.read():
-            held.append((i, t, m.shape[0], m.shape[1], m.shape[2] if m.ndim == 3 else 1, m.tobytes()))
-            n += 1
-            if len(held) == frames_per_file:
-                spark.createDataFrame(held, schema).coalesce(1).write.mode("append").parquet(path)
-                held = []
-        if held:
-            spark.createDataFrame(held, schema).coalesce(1).write.mode("append").parquet(path)
+        n, stream = 0, self.rows()
+        while held := list(itertools.islice(stream, frames_per_file if most is None else min(frames_per_file, most - n))):
+            spark.createDataFrame(held, _FRAME).coalesce(1).write.mode("append").parquet(path)
+            n += len(held)
         return n
 
+    def rows(self) -> Iterator[tuple]:
+        """The stream as rows of a frame table."""
+        for i, t, m in self.read():
+            yield i, t, m.shape[0], m.shape[1], m.shape[2] if m.ndim == 3 else 1, m.tobytes()
+
     def close(self) -> None:
         self.stream.release()
 
 
+class CaptureDataSource(DataSource):
+    """spark.readStream.format("wachter_capture") with a capture source's options, and connect: "module:function" that opens the device, and
+    frames_per_batch: the most that one batch takes. A live device has one reader, so frames come over the driver, a bounded batch at a time;
+    the batches that aren't committed yet are kept to be read again."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wachter_capture"
+
+    def schema(self) -> str:
+        return _FRAME
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return CaptureStreamReader(dict(self.options))
+
+
+class CaptureStreamReader(SimpleDataSourceStreamReader):
+    """The device is opened by the first read, on the driver. What is sent to a task that reads a batch again is the options and the frames of
+    the batches that aren't committed."""
+
+    def __init__(self, options: dict):
+        self.where, _, self.what = options.get("connect", "").partition(":")
+        if not self.what:
+            raise SourceError("a capture stream needs connect=module:function")
+        self.config = {k: options[k] for k in ("device", "capture_fourcc") if k in options}
+        self.config |= {k: float(options[k]) for k in ("processing_fps",) if k in options} | {k: int(options[k]) for k in ("processing_width", "processing_height") if k in options}
+        self.most, self.stream, self.held = int(options.get("frames_per_batch", 100)), None, []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"stream": None}
+
+    def initialOffset(self) -> dict:
+        return {"frames": 0}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        if self.stream is None:
+            self.stream = CaptureSource(self.config, getattr(importlib.import_module(self.where), self.what)).rows()
+        new = list(itertools.islice(self.stream, self.most))
+        self.held += [(start["frames"] + i, r) for i, r in enumerate(new)]
+        return iter(new), {"frames": start["frames"] + len(new)}
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        return iter([r for i, r in self.held if start["frames"] <= i < end["frames"]])
+
+    def commit(self, end: dict) -> None:
+        self.held = [(i, r) for i, r in self.held if i >= end["frames"]]
+
+
 class SyntheticDataSource(DataSource):
     """spark.read.format("wachter_scene").option("frames", n).option("fps", 20): the synthetic scene as a data source, a partition for each
     chunk of frames."""
@@ -171,7 +238,7 @@ class SyntheticDataSource(DataSource):
         return "wachter_scene"
 
     def schema(self) -> str:
-        return "idx long, t double, height int, width int, channels int, data binary"
+        return _FRAME
 
     def reader(self, schema) -> DataSourceReader:
         return _SceneReader(self.options)

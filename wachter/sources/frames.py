@@ -53,6 +53,14 @@ class FrameFileSource(FrameSource):
         return out
 
     def stream(self, spark: SparkSession, files_per_trigger: int = 1) -> DataFrame:
-        """The table as it grows, a few files a trigger: pacing is the trigger's."""
+        """The table as it grows, a few files a trigger."""
         schema = spark.read.parquet(self.path).schema
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(self.path)
+
+    def pace(self, frames_per_file: int, files_per_trigger: int = 1) -> dict:
+        """The trigger under which stream() runs no faster than the frames were taken, with realtime; else as fast as it can."""
+        if not self.config.get("realtime"):
+            return {"availableNow": True}
+        if self._fps <= 0:
+            raise SourceError("the frame rate isn't known; set fps")
+        return {"processingTime": f"{round(1e3 * frames_per_file * files_per_trigger / self._fps)} milliseconds"}

@@ -11,7 +11,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wachter.schemas import CALIBRATIONS, EVENTS, SESSIONS
+from wachter.operators.events import number
+from wachter.operators.report import session_overview
+from wachter.schemas import BOX, CALIBRATIONS, EVENTS, SESSIONS
+
+#: Columns of a running session's events: all but the number, and when they closed.
+_LIVE = f"{EVENTS.removeprefix('id long, ')}, closed_at double"
+_LIVE_COLUMNS = [c.split()[0].strip("`") for c in "session_id, anomaly_id, detector, start, end, duration, max_intensity, threshold, timeline, metadata, regions, media, closed_at".split(", ")]
 
 
 class Store:
@@ -67,12 +73,33 @@ class Store:
         names = [f.name for f in self._read("events", EVENTS).schema]
         self._replace(events.select(*names).repartition("session_id").sortWithinPartitions("session_id", "start"), "events")
 
-    def append_events(self, events: DataFrame) -> None:
+    def append_events(self, events: DataFrame, batch: int) -> None:
+        """Events that closed in a batch of a running session. The same batch again replaces its rows."""
+        new = {"metadata": F.lit("{}"), "regions": F.expr(f"cast(array() as array<{BOX}>)"), "media": F.lit(None).cast("string")}
+        live = events.withColumns({c: x for c, x in new.items() if c not in events.columns}).select(*_LIVE_COLUMNS).withColumn("batch", F.lit(batch))
+        live.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id", "batch").parquet(self._path("live_events"))
+
+    def _live(self) -> DataFrame:
+        """Events of running sessions, numbered in the order in which they closed: a number stays when more come."""
         names = [f.name for f in self._read("events", EVENTS).schema]
-        events.select(*names).write.mode("append").partitionBy("session_id").parquet(self._path("events"))
+        return number(self._read("live_events", f"{_LIVE}, batch long")).select(*names)
+
+    def close_events(self, session_id: str) -> None:
+        """A session's live events become its stored ones."""
+        self.save_events(self._live().where(F.col("session_id") == session_id))
+
+    def events(self) -> DataFrame:
+        """The stored events, and those of sessions that have none stored yet."""
+        stored = self._read("events", EVENTS)
+        return stored.unionByName(self._live().join(stored.select("session_id").distinct(), "session_id", "left_anti"))
 
     def list_events(self, session_id: str) -> DataFrame:
-        return self._read("events", EVENTS).where(F.col("session_id") == session_id).orderBy("start", "id")
+        return self.events().where(F.col("session_id") == session_id).orderBy("start", "id")
 
     def get_event(self, session_id: str, id_: int) -> DataFrame:
-        return self._read("events", EVENTS).where((F.col("session_id") == session_id) & (F.col("id") == id_))
+        return self.events().where((F.col("session_id") == session_id) & (F.col("id") == id_))
+
+    # reports
+    def overview(self) -> DataFrame:
+        """Sessions with their number of events and whether they were calibrated."""
+        return session_overview(self.sessions(), self.events(), self._read("calibrations", CALIBRATIONS))

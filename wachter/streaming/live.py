@@ -9,10 +9,14 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wachter.operators.events import Rules
+from wachter.schemas import READINGS
+from wachter.sources.store import Store
 
 EVENT = "session_id string, anomaly_id string, detector string, start double, `end` double, duration double, max_intensity double, threshold double, closed_at double, timeline array<struct<t:double,v:double>>"
 _STATE = "body string"
@@ -50,8 +54,10 @@ class Signals:
                 continue
             if fires:
                 event["end"], event["top"] = t, max(event["top"], v)
-            points = [*event["points"], [t, v]]
-            event["points"] = points if len(points) <= self.rules.max_points else [*points[::2], points[-1]]
+            points = event["points"]
+            points.append([t, v])
+            if len(points) > self.rules.max_points:
+                event["points"] = [*points[::2], points[-1]]
             if not fires and t - event["end"] >= self.rules.cooldown:
                 yield from self._finish(a, t)
 
@@ -75,7 +81,7 @@ def by_target(edges: Iterable[tuple[str, str]]) -> dict[str, set[str]]:
 
 def _rows(session: str, found: Iterable[dict]) -> pd.DataFrame:
     names = [c.split()[0].strip("`") for c in EVENT.split(", ")][:10]
-    return pd.DataFrame([{"session_id": session, **e} for e in found], columns=names).astype({"closed_at": "float64"}) if found else pd.DataFrame(columns=names)
+    return pd.DataFrame([{"session_id": session, **e} for e in found], columns=names).astype({"closed_at": "float64"})
 
 
 def stream_events(readings: DataFrame, edges: Iterable[tuple[str, str]], rules: Rules = Rules(), idle_ms: int | None = None) -> DataFrame:
@@ -89,7 +95,8 @@ def stream_events(readings: DataFrame, edges: Iterable[tuple[str, str]], rules:
         if state.hasTimedOut:
             found += signals.flush()
             state.remove()
-            yield _rows(key[0], found)
+            if found:
+                yield _rows(key[0], found)
             return
         got = pd.concat(list(batches), ignore_index=True)
         ended = got["anomaly_id"].isna()
@@ -100,15 +107,65 @@ def stream_events(readings: DataFrame, edges: Iterable[tuple[str, str]], rules:
         state.update((signals.dump(),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield _rows(key[0], found)
+        if found:
+            yield _rows(key[0], found)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return readings.groupBy("session_id").applyInPandasWithState(run, EVENT, _STATE, "append", timeout)
 
 
-def run_available(readings_dir: str, spark, schema: str, edges: Iterable[tuple[str, str]], rules: Rules, out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
+def open_readings(spark: SparkSession, readings_dir: str, files_per_batch: int = 1) -> DataFrame:
+    """A folder of reading files as a stream, in the order in which they came."""
+    return spark.readStream.schema(READINGS).option("maxFilesPerTrigger", files_per_batch).parquet(readings_dir)
+
+
+def append_readings(readings: DataFrame, readings_dir: str) -> None:
+    """One more file of readings."""
+    names = [f.name for f in readings.sparkSession.createDataFrame([], READINGS).schema]
+    readings.select(*names).coalesce(1).write.mode("append").parquet(readings_dir)
+
+
+def end_marks(sessions: DataFrame) -> DataFrame:
+    """The rows that end the sessions(session_id) of a stream of readings: their open events are flushed."""
+    return sessions.select("session_id").distinct().selectExpr("session_id", "double('inf') as t", "cast(null as string) as anomaly_id", "0D as intensity", "0D as threshold", "'' as detector")
+
+
+def run_available(readings_dir: str, spark: SparkSession, edges: Iterable[tuple[str, str]], rules: Rules, out: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
     """All files of a folder as a stream, batch by batch, to Parquet; returns what came out. Files that arrive later go on from there."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(readings_dir)
+    src = open_readings(spark, readings_dir, files_per_batch)
     query = stream_events(src, edges, rules).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(out)
+
+
+class LiveSession:
+    """A session that is watched while it runs: readings come as files of a folder, events go to the store batch by batch as they close. A batch
+    that is run again after a failure replaces what it had written. stop() ends the session in order: what has come is worked off, open
+    events are closed and stored, and the session is marked as completed."""
+
+    def __init__(self, store: Store, session_id: str, readings_dir: str, edges: Iterable[tuple[str, str]], rules: Rules = Rules(), files_per_batch: int = 4, checkpoint: str | None = None):
+        self.store, self.session_id, self.dir = store, session_id, readings_dir
+        self.edges, self.rules, self.files = list(edges), rules, files_per_batch
+        self.checkpoint = checkpoint or f"{store.root}/checkpoints/{session_id}"
+        self.query: StreamingQuery | None = None
+
+    def start(self, seconds: float = 0.0) -> LiveSession:
+        """Begins, or goes on where an earlier run ended. seconds: the least time between batches."""
+
+        def keep(events: DataFrame, batch: int) -> None:
+            self.store.append_events(events.where(F.col("session_id") == self.session_id), batch)
+
+        found = stream_events(open_readings(self.store.spark, self.dir, self.files), self.edges, self.rules)
+        self.query = found.writeStream.outputMode("append").option("checkpointLocation", self.checkpoint).trigger(processingTime=f"{seconds} seconds").foreachBatch(keep).start()
+        return self
+
+    def stop(self, finished_at: float | None = None) -> None:
+        if self.query is None:
+            raise RuntimeError("the session isn't running")
+        spark = self.store.spark
+        append_readings(end_marks(spark.createDataFrame([(self.session_id,)], "session_id string")), self.dir)
+        self.query.processAllAvailable()
+        self.query.stop()
+        self.query = None
+        self.store.close_events(self.session_id)
+        self.store.finish_session(self.session_id, finished_at)
