@@ -37,22 +37,6 @@ def session_label(id_: Column, name: Column, started: Column, status: Column) ->
     return F.concat(id_, named, F.lit(" · "), wall_time(started), state)
 
 
-def event_summary(anomaly_id: Column, start: Column, end: Column, duration: Column, peak: Column) -> Column:
-    return F.format_string("%s  ·  %.1fs → %.1fs  ·  %.1fs  ·  peak %.2f", anomaly_id, start, end, duration, peak)
-
-
-def event_stats(anomaly_id: Column, detector: Column, start: Column, end: Column, duration: Column, peak: Column, threshold: Column) -> Column:
-    """The detail view's lines."""
-    return F.format_string("#### %s\n\n- **Detector:** `%s`\n- **Start:** %.2f s\n- **End:** %.2f s\n- **Duration:** %.2f s\n- **Peak intensity:** %.3f\n- **Threshold:** %.3f\n", anomaly_id, detector, start, end, duration, peak, threshold)
-
-
-def hud_card(text: Column, id_: Column, blink_hz: Column, box: Column, on_ratio: Column) -> Column:
-    hz = F.regexp_replace(F.format_string("%.2f", blink_hz), r"\.?0+$", "")
-    blink = F.when(F.coalesce(blink_hz, F.lit(0.0)) != 0, F.concat(F.lit(" · blinks at **"), hz, F.lit(" Hz**"))).otherwise(" · static")
-    shown = F.when(F.length(text) > 0, text).otherwise(id_)
-    return F.concat(F.lit("**"), shown, F.lit("** (`"), id_, F.lit("`)"), blink, F.lit("  \nBounding box: `["), F.array_join(box.cast("array<string>"), ", "), F.lit("]` · on-screen **"), F.format_string("%.0f", F.coalesce(on_ratio, F.lit(0.0)) * 100), F.lit("%** of calibration"))
-
-
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -47,6 +47,28 @@ def session_overview(sessions: DataFrame, events: DataFrame, calibrations: DataF
     return sessions.join(n, "id", "left").join(c, "id", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0))).withColumn("calibrated", F.coalesce("calibrated", F.lit(False)))
 
 
+def event_detail(events: DataFrame, sessions: DataFrame) -> DataFrame:
+    """What is shown of one event: its fields rounded for reading, when it was by the clock, whether it has evidence."""
+    e = events.join(sessions.select(F.col("id").alias("session_id"), "started_at"), "session_id")
+    at = lambda c: T.offset_time(F.col("started_at"), F.col(c))
+    shown = [F.round(c, 3).alias(c) for c in ("start", "end", "duration", "max_intensity", "threshold")]
+    return e.select("session_id", "id", "anomaly_id", "detector", *shown, at("start").alias("started"), at("end").alias("ended"), F.size("timeline").alias("points"), F.col("media").isNotNull().alias("has_media"))
+
+
+def hud_cards(calibrations: DataFrame) -> DataFrame:
+    """The overlay elements that calibrations found: one row each, with its rate (null if it stays on) and the share of time it was seen."""
+    shape = "struct<hud_elements:array<struct<box:array<int>,id:string,text:string,blink_hz:double,on_ratio:double>>>"
+    e = calibrations.select("session_id", F.explode(F.from_json("annotations", shape)["hud_elements"]).alias("e"))
+    title = F.coalesce(F.nullif(F.col("e.text"), F.lit("")), F.col("e.id"))
+    return e.select("session_id", F.col("e.id").alias("id"), title.alias("title"), F.nullif(F.round("e.blink_hz", 2), F.lit(0.0)).alias("blink_hz"), "e.box", F.round(F.coalesce("e.on_ratio", F.lit(0.0)) * 100).cast("int").alias("seen_percent"))
+
+
+def calibration_detail(calibrations: DataFrame) -> DataFrame:
+    """One row a session, detector and signal: its threshold."""
+    by = calibrations.select("session_id", F.explode("thresholds").alias("detector", "of"))
+    return by.select("session_id", "detector", F.explode("of").alias("anomaly_id", "threshold"))
+
+
 #: Columns of the CSV export.
 CSV_COLUMNS = "event_id anomaly_id detector start_s end_s duration_s max_intensity threshold start_time end_time media".split()
 
