@@ -31,7 +31,6 @@ def test_same_as_sql(spark, con, name):
 
 def test_without_sql(spark):
     rows = entry.queries()["image_operators"](spark, SF).collect()
-    assert len(rows) == 8 and all(r["corners"] == 40 and r["tracked"] >= 30 and r["text"] == "CAM01" for r in rows)
-    r = entry.queries()["stream_rate_limit"](spark, SF)
-    assert r.groupBy("session_id").agg({"idx": "max"}).count() > 0
+    assert len(rows) == 1720 and all(r["corners"] == 40 and r["tracked"] >= 30 and r["text"] == "CAM01" for r in rows if r["idx"] < 300)
+    assert {r["text"] for r in rows if 745 <= r["idx"] < 795} != {"CAM01"}  # the text's anomaly is in it
     assert entry.entry(spark).count() > 0

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from wachter.functions import text as T
 from wachter.functions.thresholds import robust_thresholds
-from wachter.operators import clips, events, report, signals
+from wachter.operators import clips, events, hud, report, signals
 from wachter.operators.suppression import edges_of
 from wachter.sources.capture import rate_limit
-from wachter.sources.synthetic import SCHEDULE, active_at, schedule_table
+from wachter.sources.synthetic import SCHEDULE, active_at, schedule_table, synthetic_frames
+from wachter.streaming import live
+from wachter.work import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,9 +53,11 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, t, anomaly_id, intensity): t in hours from the first event's hour."""
     e = read(spark, sf_dir, "events").select(F.expr("unix_micros(cast(ts as timestamp)) div 3600000000").alias("hour"), "event_type", "value")
     top = e.groupBy("hour", "event_type").agg(F.max("value").alias("v"))
-    span = top.agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     # one row of hours for each type: as many rows as the calendar has, not as there are events
-    grid = top.select("event_type").distinct().join(span, F.lit(True)).select("event_type", "lo", F.explode(F.sequence("lo", "hi")).alias("hour"))
+    span = top.groupBy("event_type").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    every = Window.partitionBy(F.lit(0))  # of the few types
+    span = span.withColumn("lo", F.min("a").over(every)).withColumn("hi", F.max("b").over(every))
+    grid = span.select("event_type", "lo", F.explode(F.sequence("lo", "hi")).alias("hour"))
     full = grid.join(top, ["hour", "event_type"], "left")
     return full.select(F.lit("all").alias("session_id"), (F.col("hour") - F.col("lo")).cast("double").alias("t"), F.col("event_type").alias("anomaly_id"), F.coalesce("v", F.lit(0.0)).alias("intensity"))
 
@@ -363,11 +367,16 @@ def clip_frames(spark, sf):
     return clips.subsample(clips.clip_frames(f, ev, 1.0, 6.0), 20.0, 10.0).select("anomaly_id", F.col("start").alias("start_t"), "t")
 
 
-@query("SELECT o_orderkey, l_linenumber, CAST(date_diff('day', o_orderdate, l_shipdate) AS INT) AS days FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate >= o_orderdate - INTERVAL 1 DAY AND l_shipdate <= o_orderdate + INTERVAL 6 DAY")
+@query("""SELECT o.o_orderkey, p.o_orderkey AS other, CAST(date_diff('day', o.o_orderdate, p.o_orderdate) AS INT) AS days FROM orders o JOIN orders p ON o.o_custkey = p.o_custkey
+WHERE p.o_orderdate >= o.o_orderdate - INTERVAL 1 DAY AND p.o_orderdate <= o.o_orderdate + INTERVAL 30 DAY AND o.o_orderkey <> p.o_orderkey""")
 def interval_join(spark, sf):
-    o, li = read(spark, sf, "orders").select("o_orderkey", "o_orderdate"), read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    j = o.join(li, o["o_orderkey"] == li["l_orderkey"]).where("l_shipdate >= o_orderdate - interval 1 day and l_shipdate <= o_orderdate + interval 6 days")
-    return j.select("o_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").alias("days"))
+    """Each order's others of the same customer from a day before to thirty days after it."""
+    day = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01"))
+    o = read(spark, sf, "orders").select("o_custkey", "o_orderkey", day.alias("day"), (F.unix_micros(F.col("o_orderdate").cast("timestamp")) / 8.64e10).alias("t"))
+    spans = o.select("o_custkey", "o_orderkey", "day", (F.col("t") - 1).alias("a"), (F.col("t") + 30).alias("b"))
+    points = o.select("o_custkey", F.col("o_orderkey").alias("other"), F.col("day").alias("other_day"), "t")
+    j = clips.range_join(points, spans, ["o_custkey"], "t", "a", "b", 31.0).where("o_orderkey <> other")
+    return j.select("o_orderkey", "other", (F.col("other_day") - F.col("day")).alias("days"))
 
 
 _SCHED = ", ".join(f"('{k}', {a}, {b})" for k, a, b, _ in SCHEDULE)
@@ -399,10 +408,10 @@ def stored_events(spark, sf) -> DataFrame:
 _STORED = _FULL.replace(">= 1.0 AND t - last_raw", ">= 0.0 AND t - last_raw").replace(">= 1.0)\n", ">= 0.0)\n")
 
 
-@query(_STORED + "SELECT aid AS anomaly_id, s AS start_t, e - s AS duration FROM ev WHERE e - s >= 1 AND contains(lower(aid), 'c') AND aid IN ('click', 'purchase', 'error')")
+@query(_STORED + "SELECT aid AS anomaly_id, s AS start_t, e - s AS duration FROM ev WHERE e - s >= 0 AND contains(lower(aid), 'c') AND aid IN ('click', 'purchase', 'error')")
 def report_filter(spark, sf):
-    e = report.filter_events(stored_events(spark, sf), " C ", ["click", "purchase", "error"], 1.0, "Duration (longest first)")
-    return e.where(F.lower("anomaly_id").contains("c")).select("anomaly_id", F.col("start").alias("start_t"), "duration")
+    e = report.filter_events(stored_events(spark, sf), " C ", ["click", "purchase", "error"], 0.0, "Duration (longest first)")
+    return e.select("anomaly_id", F.col("start").alias("start_t"), "duration")
 
 
 @query(_STORED + "SELECT list_sort(list(DISTINCT aid)) AS types, count(*) AS n, greatest(max(e - s), 1.0) AS max_duration FROM ev")
@@ -410,10 +419,58 @@ def report_types(spark, sf):
     return report.event_types(stored_events(spark, sf))
 
 
-@query(_STORED + "SELECT aid AS anomaly_id, printf('%.3f', s) AS start_s, printf('%.3f', e) AS end_s, printf('%.3f', e - s) AS duration_s, strftime(make_timestamp(CAST(floor((1700000000 + s) * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S') AS start_time, '' AS media FROM ev")
+#: Events with closing times, numbered as they are finished.
+_NUMBERED = _STORED + """, cl AS (SELECT ev.*, (SELECT min(q.t) FROM ep q WHERE q.aid = ev.aid AND q.k = ev.k AND NOT fire AND q.t > e AND q.t - e >= 2.0) AS closed FROM ev),
+nr AS (SELECT *, row_number() OVER (ORDER BY closed NULLS LAST, s, aid) AS id FROM cl)
+"""
+_CLOCK = "strftime(make_timestamp(CAST(floor((1700000000 + {}) * 1000000) AS BIGINT)), '%Y-%m-%d %H:%M:%S')"
+
+
+@query(_NUMBERED + f"SELECT id AS event_id, aid AS anomaly_id, 'events' AS detector, printf('%.3f', s) AS start_s, printf('%.3f', e) AS end_s, printf('%.3f', e - s) AS duration_s, printf('%.6f', mx) AS max_intensity, printf('%.6f', thr) AS threshold, {_CLOCK.format('s')} AS start_time, {_CLOCK.format('e')} AS end_time, '' AS media FROM nr")
 def csv_rows(spark, sf):
     s = spark.createDataFrame([("all", 1.7e9)], "id string, started_at double")
-    return report.csv_rows(stored_events(spark, sf), s).select("anomaly_id", "start_s", "end_s", "duration_s", "start_time", "media")
+    return report.csv_rows(stored_events(spark, sf), s)
+
+
+@query(_NUMBERED + f"SELECT id, aid AS anomaly_id, round(s, 3) AS start_t, round(e, 3) AS end_t, round(mx, 3) AS max_intensity, {_CLOCK.format('s')} AS started, {_CLOCK.format('e')} AS ended, (SELECT CAST(count(*) AS INT) FROM ep WHERE ep.aid = nr.aid AND ep.k = nr.k AND t <= e) AS points FROM nr")
+def event_detail(spark, sf):
+    s = spark.createDataFrame([("all", 1.7e9)], "id string, started_at double")
+    return report.event_detail(stored_events(spark, sf), s).select("id", "anomaly_id", F.col("start").alias("start_t"), F.col("end").alias("end_t"), "max_intensity", "started", "ended", "points")
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS id, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_events, c_acctbal > 0 AS calibrated FROM customer")
+def session_overview(spark, sf):
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), "c_acctbal")
+    e = read(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("session_id"))
+    return report.session_overview(c, e, c.where("c_acctbal > 0").select(F.col("id").alias("session_id"))).select("id", "n_events", "calibrated")
+
+
+@query(_HOURLY.rstrip().rstrip(",") + " SELECT 'events' AS detector, aid AS anomaly_id, round(threshold, 6) AS threshold FROM thr")
+def calibration_detail(spark, sf):
+    h = hourly(spark, sf).where(F.col("t") < CAL_HOURS)
+    thr = robust_thresholds(h, ["session_id", "anomaly_id"], "intensity", SIGMA, 1.0, HEADROOM)
+    by = thr.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("anomaly_id", "threshold"))).alias("m")).select("session_id", F.create_map(F.lit("events"), "m").alias("thresholds"))
+    return report.calibration_detail(by).select("detector", "anomaly_id", r6("threshold").alias("threshold"))
+
+
+@query("SELECT doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(34), '&quot;'), chr(39), '&#x27;') AS escaped FROM documents")
+def escaped_text(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", T.html_escape(F.col("text")).alias("escaped"))
+
+
+@query(r"""SELECT page_id, len(list_filter(regexp_extract_all(html, '(?:src|href)\s*=\s*["''](https?://[^"'']+)["'']', 1), lambda u: NOT regexp_matches(u, '^https?://(localhost|127\.0\.0\.1)(:|/|$)'))) AS n FROM pages""")
+def external_urls(spark, sf):
+    return read(spark, sf, "pages").select("page_id", F.size(T.external_urls(F.col("html"))).alias("n"))
+
+
+@query("SELECT p_partkey, 'data:image/' || CASE WHEN p_partkey % 2 = 0 THEN 'gif' ELSE 'png' END || ';base64,' || to_base64(encode(p_name)) AS uri FROM part")
+def data_uris(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", T.data_uri(F.col("p_name").cast("binary"), F.when(F.col("p_partkey") % 2 == 0, "a.GIF").otherwise("a.png")).alias("uri"))
+
+
+@query("SELECT idx, (CAST(trunc(idx / 20.0 * 2 * 2) AS BIGINT) % 2) = 0 AS visible FROM (SELECT unnest(range(1720)) AS idx)")
+def square_wave(spark, sf):
+    return spark.range(1720).select(F.col("id").alias("idx"), T.square_wave(F.col("id") / 20.0, F.lit(2.0)).alias("visible"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) || CASE WHEN c_name <> CAST(o_orderkey AS VARCHAR) THEN ' (' || c_name || ')' ELSE '' END || ' · ' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || CASE WHEN o_orderstatus = 'F' THEN '' ELSE ' [running]' END AS label
@@ -435,13 +492,29 @@ def plot_points(spark, sf):
 # --- beyond SQL -------------------------------------------------------------------------------------
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6 AS w FROM events),
+c AS (SELECT user_id, min(w) AS w, 0 AS idx FROM e GROUP BY user_id
+  UNION ALL SELECT c.user_id, min(e.w) AS w, any_value(c.idx) + 1 AS idx FROM c JOIN e ON e.user_id = c.user_id AND e.w > c.w AND NOT (e.w - c.w < 1.0 / (CAST(2 AS DOUBLE) / 3600)) GROUP BY c.user_id)
+SELECT user_id AS session_id, w AS "at", CAST(idx AS BIGINT) AS idx, idx / (CAST(2 AS DOUBLE) / 3600) AS t FROM c""")
 def stream_rate_limit(spark, sf):
     """Each user's events, at most two an hour."""
     e = read(spark, sf, "events").select(F.col("user_id").alias("session_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return rate_limit(e, 2 / 3600)
 
 
+@query(_FULL + _EVENT_COLUMNS)
+def stream_events(spark, sf):
+    """events_suppressed from a stream: the readings come in four files in order of time, then the mark of the session's end."""
+    folder, r = work_path(spark, "stream"), work_path(spark, "readings")
+    readings(spark, sf).write.parquet(r)
+    r = spark.read.parquet(r)
+    low, high = r.agg(F.min("t"), F.max("t")).first()
+    for k in range(4):
+        live.append_readings(r.where(F.floor((F.col("t") - low) / (high - low + 1) * 4) == k), f"{folder}/in")
+    live.append_readings(live.end_marks(r), f"{folder}/in")
+    return event_columns(live.run_available(f"{folder}/in", spark, EDGES, RULES, f"{folder}/out", f"{folder}/checkpoint"))
+
+
 @query("""WITH RECURSIVE c AS (SELECT 0 AS n, CAST([] AS BIGINT[]) AS tl UNION ALL SELECT n + 1, CASE WHEN len(tl) < 50 THEN list_append(tl, n) ELSE list_append(list_slice(list_append(tl, n), 1, len(tl) + 1, 2), n) END FROM c WHERE n < 500)
 SELECT unnest(range(len(tl))) AS pos, unnest(tl) AS v FROM c WHERE n = 500""")
 def timeline_cap(spark, sf):
@@ -457,7 +530,6 @@ def image_operators(spark, sf):
 
     from wachter.functions.image import components, dilate, good_corners, gray, pyramid, track
     from wachter.functions.ocr import read_text
-    from wachter.sources.synthetic import synthetic_frames
 
     def run(batches):
         for b in batches:
@@ -469,4 +541,27 @@ def image_operators(spark, sf):
                 out.append({"idx": r["idx"], "elements": components(dilate(g > 220, 15))[1], "corners": len(p), "tracked": int((ok & (abs(q[:, 0] - p[:, 0] - 2) < 0.5)).sum()), "text": read_text(g[12:30, 10:74])})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("idx", pa.int64()), ("elements", pa.int32()), ("corners", pa.int32()), ("tracked", pa.int32()), ("text", pa.string())]))
 
-    return synthetic_frames(spark, 8).mapInArrow(run, "idx long, elements int, corners int, tracked int, text string")
+    return synthetic_frames(spark).mapInArrow(run, "idx long, elements int, corners int, tracked int, text string")
+
+
+#: The overlays of the synthetic scene, by place.
+_OVERLAYS = "VALUES ('cam01', 'CAM01'), ('temp22', 'TEMP22'), ('rec', 'REC'), ('stat01', 'STAT01')"
+
+
+@query(f"SELECT element, text FROM ({_OVERLAYS}) AS e(element, text)")
+def hud_elements(spark, sf):
+    """The overlays that the calibration of the whole scene finds, by bright pixels that a dilation joins, and reads."""
+    return hud.HudDetector().elements(scene(spark).where("t < 10")).select("element", "text")
+
+
+@query(f"SELECT element, 200 AS frames, true AS near_home, true AS read FROM ({_OVERLAYS}) AS e(element, text)")
+def hud_measures(spark, sf):
+    """Each overlay in all frames of the calibration: where it is seen, it is at its place, and reads as itself nearly always."""
+    h, f = hud.HudDetector(), scene(spark).where("t < 10")
+    el = h.elements(f)
+    d = h.deviations(h.measure(f, el), el).groupBy("element").agg(F.count("*").cast("int").alias("frames"), (F.max("position") < 2).alias("near_home"), (F.avg("text_dist") < 0.1).alias("read"))
+    return d.select("element", "frames", "near_home", "read")
+
+
+def scene(spark) -> DataFrame:
+    return synthetic_frames(spark).select(F.lit("scene").alias("session_id"), "*")
