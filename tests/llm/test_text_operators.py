@@ -84,6 +84,25 @@ def test_orc_files_prune(spark, tmp_path):
     assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:], strict=False))
 
 
+def test_orc_files_have_indexes(spark, tmp_path):
+    """Row indexes at their stride, and Bloom filters on the id alone."""
+    out = tmp_path / "orc"
+    token_ids.write_orc(docs(spark, [f"text {i} " * 20 for i in range(5000)]), str(out), files=1)
+    jvm, path = spark._jvm, str(next(out.glob("*.orc")))
+    orc = jvm.org.apache.orc
+    reader = orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(path), orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getRowIndexStride() == 1000 and reader.getNumberOfRows() == 5000 and reader.getStripes()[0].getIndexLength() > 0
+    names = list(reader.getSchema().getFieldNames())
+    every = spark.sparkContext._gateway.new_array(jvm.boolean, len(names) + 2)
+    for i in range(len(names) + 2):
+        every[i] = True
+    index = reader.rows().readRowIndex(0, every, every)
+    column = 1 + names.index("doc_id")
+    assert index.getRowGroupIndex()[column].getEntryCount() == 5
+    filters = index.getBloomFilterIndex()
+    assert filters[column].getBloomFilterCount() == 5 and filters[1 + names.index("ids")] is None
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_attribution(spark, rule):
     rng = random.Random(7)
@@ -372,6 +391,68 @@ def test_toxicity(spark):
     assert toxicity.digest(docs(spark, []), labels).count() == 0
 
 
+def test_ftrl_equals_a_plain_one(spark):
+    """The vectorised learner against one with dictionaries, example by example; features against their definition."""
+    rng = random.Random(3)
+    texts = [prose(rng, rng.randint(0, 25), 30).replace("w1", "W1,") for _ in range(120)] + ["", "one"]
+    labels = [int("w7" in t.split()) for t in texts]
+    low = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower()) for t in texts]
+    t = Tokens(pa.array(texts), toxicity.NOT_WORD)
+    doc, at = toxicity.features(t)
+    names = [[*((w,) for w in x), *zip(x, x[1:], strict=False), *((a, None, b) for a, b in zip(x, x[2:], strict=False))] for x in low]
+    mine = [Counter(at[doc == i].tolist()) for i in range(len(texts))]
+    assert [sum(c.values()) for c in mine] == [len(x) for x in names]
+    words_ = {w for x in low for w in x}
+    single = {w: toxicity.features(Tokens(pa.array([w]), toxicity.NOT_WORD))[1].tolist() for w in words_}
+    assert all(len(v) == 1 for v in single.values()) and len({v[0] for v in single.values()}) == len(words_)
+    assert all(mine[i][single[w][0]] >= Counter(x)[w] for i, x in enumerate(low) for w in x)
+
+    df = spark.createDataFrame([(f"k{i}", x, y) for i, (x, y) in enumerate(zip(texts, labels, strict=True))], "key string, text string, label int")
+    got = {r["bucket"]: r["weight"] for r in toxicity.fit(df, epochs=3, min_seen=2, positive=2, seed=5).collect()}
+    order = [int(r["key"][1:]) for r in df.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.xxhash64("text")).collect()]
+    rows = [set(mine[i]) for i in order]
+    seen = Counter(f for r in rows for f in r)
+    bias = 1 << toxicity.BITS
+    rows = [{f for f in r if seen[f] >= 2} | {bias} for r in rows]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f):
+        limit = 0.0 if f == bias else toxicity.L1
+        if abs(z[f]) <= limit:
+            return 0.0
+        return -(z[f] - np.sign(z[f]) * limit) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    shuffle = np.random.default_rng(5)
+    for _ in range(3):
+        for i in shuffle.permutation(len(rows)):
+            y = labels[order[i]]
+            for _ in range(2 if y else 1):
+                w = {f: weight(f) for f in rows[i]}
+                g = 1 / (1 + np.exp(-sum(w.values()))) - y
+                for f in rows[i]:
+                    z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / toxicity.ALPHA * w[f]
+                    n[f] += g * g
+    want = {f: weight(f) for f in z if weight(f)}
+    assert got.keys() == want.keys() and bias in got and all(got[f] == pytest.approx(want[f], rel=1e-6) for f in want)
+
+
+def test_toxicity_sample(spark):
+    """Rows in the order of the id's hash, whole texts of any length, until one of the two bounds; copies of a row are one."""
+    texts = ["x" * (10 * i) for i in range(100)]
+    df = docs(spark, texts).union(docs(spark, texts[:3]))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)] + [(3, 1), (3, 0), (None, 1), (500, 1)], "doc_id long, toxic int")
+    learned = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5]
+    every = toxicity.sample(df, labels).collect()
+    assert sorted(int(r["key"]) for r in every) == learned and {r["key"]: r["label"] for r in every}["3"] == 1 and max(len(r["text"]) for r in every) >= 980
+    order = [int(r["k"]) for r in spark.createDataFrame([(str(i),) for i in learned], "k string").orderBy(F.xxhash64("k")).collect()]
+    assert {int(r["key"]) for r in toxicity.sample(df, labels, max_rows=20).collect()} == set(order[:20])
+    upto, total = 0, 0
+    while total < 5000:
+        total += len(texts[order[upto]])
+        upto += 1
+    assert {int(r["key"]) for r in toxicity.sample(df, labels, max_chars=5000).collect()} == set(order[:upto])
+
+
 def brute_targets(sizes):
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
     w = {s: i % 3 + 1 for i, s in enumerate(order)}

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import regroup, utf8
+from wachter.llm.common import map_arrow, regroup, utf8
 from wachter.llm.token_ids import default_tokenizer, encode_column
 
 #: How a token that crosses a boundary is allotted: to the section of its first or last byte, or to the one with most of its bytes (of
@@ -53,7 +53,7 @@ def attribute(documents: DataFrame, sections: str | Column, rule: str = "overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = byte_lengths(path)
-        for b in regroup(batches, 4 << 20):
+        for b in regroup(batches):
             text = b.column("_text")
             raw, at = utf8(text)
             ids, n = encode_column(text, path)
@@ -91,9 +91,10 @@ def attribute(documents: DataFrame, sections: str | Column, rule: str = "overlap
             crossing += np.bincount(taken[got], most[got] < size[ids][got], len(doc)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(doc)), section, pa.array(count), pa.array(crossing), pa.array(n[doc])], ["id", "section", "tokens", "crossing", "total"])
 
-    return src.mapInArrow(run, f"id {kind}, section string, tokens long, crossing long, total long").withColumnRenamed("id", id_col)
+    return map_arrow(src, run, f"id {kind}, section string, tokens long, crossing long, total long").withColumnRenamed("id", id_col)
 
 
 def digest(documents: DataFrame) -> DataFrame:
-    """Tokens of the first line, the body and the last line of every document."""
+    """Tokens of the first line, the body and the last line of every document. A null or empty text is one empty first line of no tokens;
+    repeated rows give repeated rows; an empty table gives none. Sections here tile the text, so each token is in one."""
     return attribute(documents, line_sections(F.coalesce(F.col("text"), F.lit(""))))
