@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wachter.work import work_path
+
 #: A token of the contracts: bytes other than space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
@@ -23,33 +22,28 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Also everything of ASCII that is neither a letter nor a digit.
 NOT_WORD = np.array([not (chr(b).isalnum() or b >= 0x80) for b in range(256)])
-_ROOT: dict[str, str] = {}
 
 
 # --- work folders -----------------------------------------------------------------------------
 
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or else that of setCheckpointDir; a temporary one only where neither is set and
-    driver and executors are one process. It is deleted when the session ends."""
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local[") and context.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = _ROOT.setdefault("tmp", tempfile.mkdtemp(prefix="wachter-"))
-    path = f"{root.rstrip('/')}/wachter/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
+#: Spark then deletes a query's shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut the lineage: write to the shared work folder and read back, so that a lost executor costs one task, not the plan."""
-    path = work_path(df.sparkSession, name)
+    """Cut the lineage: write to the shared work folder and read back, so that a lost executor costs one task, not the plan. The table stands for
+    the shuffles that made it, whose files are deleted: disks hold those of one table at a time."""
+    spark = df.sparkSession
+    path = work_path(spark, name)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release(*frames: DataFrame) -> None:
@@ -61,13 +55,6 @@ def release(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets the driver collect its garbage, so that Spark deletes the shuffle files of plans that are done: between the rounds of a large
-    job, disks hold one round's."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def give_back() -> None:
     """Returns the memory that a Python worker's allocators hold back, so that workers between two tasks are small."""
     pa.default_memory_pool().release_unused()
@@ -102,6 +89,7 @@ def _letters(lower: bool) -> np.ndarray:
 
 
 _LETTERS = {True: _letters(True), False: _letters(False)}
+OTHER_LETTERS = mix(np.arange(1, 257, dtype=U64) * M1)
 _POWERS = np.ones(1, U64)
 
 
@@ -150,21 +138,67 @@ class Tokens:
         self.hashes = self._hash(black, lower) if hashes else None
 
     def _hash(self, black: np.ndarray, lower: bool) -> np.ndarray:
-        if not len(self.starts):
-            return np.zeros(0, U64)
-        size = self.ends - self.starts
-        at = np.cumsum(size) - size
-        power = _powers(int(size.max()))
-        out = np.empty(len(size), U64)
-        letters, step, i = _LETTERS[lower], 1 << 18, 0
-        raw = self.raw[black]
-        while i < len(size):  # in pieces that stay in the processor's cache
-            j = max(i + 1, int(np.searchsorted(at, at[i] + step)))
-            lo, hi = at[i], at[j - 1] + size[j - 1]
-            rel = np.arange(hi - lo) - np.repeat(at[i:j] - lo, size[i:j])
-            out[i:j] = np.add.reduceat(letters[raw[lo:hi]] * power[rel], at[i:j] - lo)
-            i = j
-        return mix(out + size.astype(U64) * GOLD)
+        return hash_runs(self.raw[black], self.ends - self.starts, _LETTERS[lower])
+
+
+def hash_runs(raw: np.ndarray, size: np.ndarray, letters: np.ndarray = _LETTERS[False]) -> np.ndarray:
+    """64 bits of each of the runs of these sizes that the bytes are cut into."""
+    if not len(size):
+        return np.zeros(0, U64)
+    at = np.cumsum(size) - size
+    power = _powers(int(size.max()))
+    out = np.empty(len(size), U64)
+    step, i = 1 << 18, 0
+    while i < len(size):  # in pieces that stay in the processor's cache
+        j = max(i + 1, int(np.searchsorted(at, at[i] + step)))
+        lo, hi = at[i], at[j - 1] + size[j - 1]
+        rel = np.arange(hi - lo) - np.repeat(at[i:j] - lo, size[i:j])
+        out[i:j] = np.add.reduceat(letters[raw[lo:hi]] * power[rel], at[i:j] - lo)
+        i = j
+    return mix(out + size.astype(U64) * GOLD)
+
+
+class Remembered:
+    """A process's memory of what it has worked out for byte strings, by 128 bits of their hashes. A table of fixed size, with two places for each
+    string; who comes first stays, since what is frequent comes early."""
+
+    def __init__(self, bits: int = 19):
+        self.bits = U64(64 - bits)
+        self.a, self.b, self.row = np.zeros(1 << bits, U64), np.zeros(1 << bits, U64), np.full(1 << bits, -1, np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Each string's number, -1 for those that aren't known."""
+        at = (a >> self.bits).astype(np.int64)
+        out = np.where((self.a[at] == a) & (self.b[at] == b), self.row[at], -1).astype(np.int64)
+        lost = np.flatnonzero(out < 0)
+        at, a, b = (b[lost] >> self.bits).astype(np.int64), a[lost], b[lost]
+        out[lost] = np.where((self.a[at] == a) & (self.b[at] == b), self.row[at], -1)
+        return out
+
+    def put(self, a: np.ndarray, b: np.ndarray, row: np.ndarray) -> None:
+        """New strings, each once."""
+        for place in (0, 1):
+            at = ((a, b)[place] >> self.bits).astype(np.int64)
+            _, first = np.unique(at, return_index=True)
+            first = first[self.row[at[first]] < 0]
+            at = at[first]
+            self.a[at], self.b[at], self.row[at] = a[first], b[first], row[first]
+            rest = np.ones(len(a), bool)
+            rest[first] = False
+            a, b, row = a[rest], b[rest], row[rest]
+
+    def clear(self) -> None:
+        self.row[:] = -1
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct pair, the number of each row's pair)."""
+    order = np.lexsort((b, a))
+    new = np.ones(len(order), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
 
 
 def shingle_hashes(hashes: np.ndarray, lens: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -217,7 +251,6 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded size, whatever the session's batch size: memory follows the longest text, not the batch."""
     held, size = [], 0
-    give_back()  # what the task before has left
     for b in batches:
         parts = -(-b.nbytes // most_bytes) if b.num_rows else 1
         step = max(1, -(-b.num_rows // max(1, parts)))
@@ -225,8 +258,11 @@ def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int = BATCH_BYTES) ->
             piece = b.slice(i, step)
             n = piece.nbytes
             if held and size + n > most_bytes:
-                yield pa.concat_batches(held)
+                out = pa.concat_batches(held)
                 held, size = [], 0
+                yield out
+                del out
+                give_back()
             held.append(piece)
             size += n
     if held:
@@ -243,7 +279,7 @@ def text_hash(text: str | Column) -> Column:
     return F.xxhash64(F.coalesce((F.col(text) if isinstance(text, str) else text).cast("string"), F.lit("")))
 
 
-def lookup(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def lookup(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """The small side of a join: broadcast if it has at most so many rows (which are counted), else one hash table a partition, so that the
     large side is dealt out but never sorted."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, LongType, StructField, StructType
 from pyspark.taskcontext import TaskContext
 
-from wachter.llm.common import GOLD, M1, U64, Tokens, map_arrow, materialise, mix, regroup, tasks, tidy
+from wachter.llm.common import GOLD, M1, U64, Tokens, map_arrow, materialise, mix, regroup, tasks
 
 ORDER = 2
 #: Counts up to this are discounted.
@@ -546,7 +546,6 @@ def _run(documents: DataFrame, held_out: Column, order: int, stored: Model | Non
             model.learn(table)
         else:
             model.d, model.sums, model.hot = stored.d[:k], stored.sums[:k], stored.hot[:k]
-        tidy(spark)
     light = model.light()
     types, total = model.sums[0][K + 1], model.sums[0][K + 2]
 
