@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wachter.llm.common import GOLD, M1, M2, NOT_WORD, U64, Tokens, materialise, mix, regroup
+from wachter.llm.common import GOLD, M1, M2, NOT_WORD, U64, Tokens, map_arrow, materialise, mix, regroup, small_batches, text_hash
 
-#: Learning reads at most so many labelled rows, those with the smallest hash of the id, and of these only texts of at most so many
-#: characters: the documented bound of the sample.
-MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 12_000, 20_000
+#: The documented bound of the sample that is learned from: labelled rows in the order of the id's hash, whole texts of any length, at most so
+#: many rows, and no further row once those before have so many characters.
+MAX_TRAIN_ROWS, MAX_TRAIN_CHARS = 12_000, 200_000_000
 BITS, EPOCHS = 20, 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 20.0, 0.5
 #: Features of fewer examples are left out; a toxic example is learned so many times an epoch, since few are.
@@ -54,16 +54,14 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(examples: DataFrame, bits: int = BITS, epochs: int = EPOCHS, max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS, min_seen: int = MIN_SEEN, positive: int = POSITIVE, seed: int = 0) -> DataFrame:
-    """examples(doc_id, text, label 0/1) -> the non-zero weights (bucket, weight), at most 2**bits + 1 rows. One task learns, from a bounded
-    sample. Null labels are left out; null texts are empty; without examples there are no weights."""
-    src = examples.where("label in (0, 1)").select(F.col("doc_id").cast("string").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("label").cast("int").alias("label"))
-    src = src.where(F.length("text") <= max_chars).withColumn("h", F.xxhash64("key", "text")).orderBy("h", "key", "label").limit(max_rows)
+def fit(examples: DataFrame, bits: int = BITS, epochs: int = EPOCHS, min_seen: int = MIN_SEEN, positive: int = POSITIVE, seed: int = 0) -> DataFrame:
+    """examples(key, text, label 0/1), as sample() bounds them -> the non-zero weights (bucket, weight), at most 2**bits + 1 rows. One task
+    learns. Null texts are empty; without examples there are no weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[np.ndarray] = []
         labels: list[int] = []
-        for b in regroup(batches, 4 << 20):
+        for b in regroup(batches):
             doc, at = features(Tokens(b.column("text"), NOT_WORD), bits)
             pair = np.unique(doc * (1 << bits) + at)
             doc, at = pair >> bits, (pair & ((1 << bits) - 1)).astype(np.int32)
@@ -85,47 +83,69 @@ def fit(examples: DataFrame, bits: int = BITS, epochs: int = EPOCHS, max_rows: i
         at = at[w != 0]
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at])], ["bucket", "weight"])
 
-    return src.repartition(1).sortWithinPartitions("h", "key", "label").select("text", "label").mapInArrow(run, "bucket long, weight double")
+    return map_arrow(examples.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key", F.xxhash64("text")).select("text", "label"), run, "bucket long, weight double")
 
 
-def score(documents: DataFrame, model: DataFrame, bits: int = BITS, text_col: str = "text", out: str = "score") -> DataFrame:
-    """documents with out: the probability that the whole text is toxic. An empty or null text gets the bias's probability; without a model, 0."""
+def scorer(model: DataFrame, text: Column, bits: int = BITS) -> Column:
+    """The probability that a whole text is toxic, as a column: only the text goes to Python, and only the number comes back. An empty or null
+    text gets the bias's probability; without a model, 0."""
+    small_batches(model.sparkSession)
     rows = sorted(model.collect())  # at most 2**bits + 1 rows of 16 bytes
     at, weight = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
     bias = float(weight[at == 1 << bits].sum()) if rows else -40.0
-    sent = documents.sparkSession.sparkContext.broadcast((at[at < 1 << bits].astype(np.int32), weight[at < 1 << bits].astype(np.float32)))
-    kept = [c for c in documents.columns if c != out]
-    schema = documents.select(*kept, F.lit(0.0).alias(out)).schema
-    src = documents.select(*kept, F.col(text_col).cast("string").alias("_text"))
+    sent = model.sparkSession.sparkContext.broadcast((at[at < 1 << bits].astype(np.int32), weight[at < 1 << bits].astype(np.float32)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         where, w = sent.value
         table = np.zeros(1 << bits, np.float32)
         table[where] = w
-        for b in regroup(batches, 8 << 20):
-            doc, f = features(Tokens(b.column("_text"), NOT_WORD), bits)
-            hit = table[f] != 0
-            pair = np.unique((doc[hit] << bits) + f[hit])  # a feature counts once a text
-            x = np.bincount(pair >> bits, table[pair & ((1 << bits) - 1)].astype(float), b.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))], [*kept, out])
+        for t in texts:
+            yield pa.concat_arrays([one(b.column(0), table) for b in regroup(iter([pa.record_batch({"t": t})]))] or [pa.array([], pa.float64())])
+
+    def one(column: pa.Array, table: np.ndarray) -> pa.Array:
+        doc, f = features(Tokens(column, NOT_WORD), bits)
+        hit = table[f] != 0
+        pair = np.unique((doc[hit] << bits) + f[hit])  # a feature counts once a text
+        x = np.bincount(pair >> bits, table[pair & ((1 << bits) - 1)].astype(float), len(column)) + bias
+        return pa.array(1 / (1 + np.exp(-np.clip(x, -35, 35))))
+
+    return F.arrow_udf(run, "double")(text.cast("string"))
+
+
+def held_out(doc_id: Column) -> Column:
+    """Rows that are not learned from: crc32(doc_id as text) mod 5 is 0. A null id is not held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def sample(documents: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> DataFrame:
+    """(key, text, label): the bounded sample of the labelled documents that are not held out. Of labels that differ for one id the largest
+    holds; rows alike in id and text are one. Null ids and labels teach nothing. Which rows are taken is decided by ids and lengths alone;
+    only then are their texts read."""
+    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    # not all labelled ids have texts, which a multiple of the sample leaves room for
+    marks = marks.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(2 * max_rows)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = documents.select("doc_id", text_hash(text_col).alias("th"), text.alias("text")).join(F.broadcast(marks), "doc_id")  # 2 * max_rows rows at most
+    sizes = own.groupBy("doc_id", "th", "label").agg(F.first(F.length("text")).alias("chars")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "th").limit(max_rows)
+    before = Window.orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", "th").rowsBetween(Window.unboundedPreceding, -1)  # max_rows rows at most
+    taken = materialise(sizes.withColumn("before", F.coalesce(F.sum("chars").over(before), F.lit(0))).where(F.col("before") < max_chars).select("doc_id", "th"), "toxicity-sample")
+    got = own.join(F.broadcast(taken), ["doc_id", "th"]).groupBy("doc_id", "th", "label").agg(F.first("text").alias("text"))
+    return got.select(F.col("doc_id").cast("string").alias("key"), "text", "label")
+
 
-    return src.mapInArrow(run, schema)
+def train(documents: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
+    """The model learned from the sample, stored."""
+    return materialise(fit(sample(documents, labels, text_col)), "toxicity-model")
 
 
-def train_and_score(documents: DataFrame, labels: DataFrame, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """Learn from the labelled documents whose crc32(doc_id) mod 5 is not 0; score every document. carry: the columns to keep (all)."""
-    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
-    marks = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    marks = marks.where(~held)
-    # the labelled ids that can be in the bounded sample: a multiple of it by the smallest hash, which leaves room for texts over the limit
-    marks = marks.orderBy(F.xxhash64(F.col("doc_id").cast("string"))).limit(2 * MAX_TRAIN_ROWS)
-    examples = documents.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")  # 2 * MAX_TRAIN_ROWS rows at most
-    model = materialise(fit(examples), "toxicity-model")
-    return score(documents.withColumn("held_out", held).select(*dict.fromkeys([*(carry or documents.columns), "held_out"])), model, text_col=text_col)
+def drop_toxic(documents: DataFrame, labels: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """documents without those that score the threshold or more. Null and empty texts score as the model's bias does; repeated rows are all
+    kept or all dropped; an empty table stays empty; other columns may have any names and types."""
+    return documents.where(scorer(train(documents, labels, text_col), F.col(text_col)) < threshold)
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of documents. A null doc_id is scored and counts as not held out; repeated ids are
-    scored row by row."""
-    out = train_and_score(documents, labels, ["doc_id", "text"])
+    scored row by row; null and empty texts score alike; an empty table gives no rows."""
+    out = documents.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(train(documents, labels), F.col("text")).alias("score"))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
