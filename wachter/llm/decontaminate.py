@@ -11,13 +11,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wachter.llm.common import U64, Tokens, list_array, lookup, map_arrow, materialise, mix, regroup, shingle_hashes, text_hash, without
+from wachter.llm.common import GOLD, M1, U64, Remembered, Tokens, distinct, list_array, lookup, map_arrow, materialise, mix, regroup, shingle_hashes, text_hash, without
 
 WINDOW, SHARE, MIN_LITERALS = 8, 0.5, 4
 FILTER_BITS = 1 << 24
@@ -44,23 +45,53 @@ def _describe(piece: str) -> tuple[str, int]:
     return word, ends | (IS_UNIT if word in UNITS else 0) | (IS_CAP if raw[:1].isupper() else 0)
 
 
+class _Words:
+    """What a process knows of words: flags, and the hash of the word without outer punctuation in lower case."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.most, self.known = most, Remembered()
+        self.flags, self.value = np.zeros(0, np.int64), np.zeros(0, U64)
+
+    def look_up(self, t: Tokens, line_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.flags) > self.most:
+            self.known.clear()
+            self.flags, self.value = self.flags[:0], self.value[:0]
+        a = mix(t.hashes ^ np.where(line_end, GOLD, M1))
+        b = mix(a ^ GOLD)
+        row = self.known.find(a, b)
+        lost = np.flatnonzero(row < 0)
+        if len(lost):
+            one, which = distinct(a[lost], b[lost])
+            one = lost[one]
+            data = t.raw.tobytes()
+            found = [_describe(data[i:j].decode() + ("\n" if e else " ")) for i, j, e in zip(t.starts[one].tolist(), t.ends[one].tolist(), line_end[one].tolist(), strict=True)]
+            words = Tokens(pa.array([w.replace(" ", "_") or "_" for w, _ in found], pa.large_string()), lower=False)
+            new = len(self.flags) + np.arange(len(one))
+            self.flags = np.concatenate([self.flags, np.array([f for _, f in found], np.int64)])
+            self.value = np.concatenate([self.value, words.hashes[words.first]])
+            self.known.put(a[one], b[one], new)
+            row[lost] = new[which]
+        return self.flags[row], self.value[row]
+
+
+@lru_cache(1)
+def _words() -> _Words:
+    return _Words()
+
+
 class Templates:
     """Template code and value of every word of a batch of texts."""
 
     def __init__(self, column: pa.Array):
-        t = Tokens(column, lower=False, hashes=False)
+        t = Tokens(column, lower=False)
         self.lens = t.lens
         n = len(t.starts)
         if not n:
             self.codes, self.value, self.slot = {}, np.zeros(0, U64), np.zeros(0, bool)
             return
-        cut = np.append(t.starts, len(t.raw)).astype(np.int64)
-        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(t.raw))]).dictionary_encode()
-        which = pieces.indices.to_numpy()
-        known = [_describe(x) for x in pieces.dictionary.cast(pa.large_string()).to_pylist()]
-        flags = np.array([f for _, f in known], np.int64)[which]
-        words = Tokens(pa.array([w.replace(" ", "_") or "_" for w, _ in known], pa.large_string()), lower=False)
-        self.value = words.hashes[words.first][which]
+        feeds = np.concatenate([[0], np.cumsum(t.raw == 0x0A)])
+        line_end = feeds[np.append(t.starts[1:], len(t.raw))] > feeds[t.ends]
+        flags, self.value = _words().look_up(t, line_end)
         start = np.zeros(n, bool)
         start[t.first[t.lens > 0]] = True
         before = np.roll(flags, 1)
@@ -135,7 +166,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     schema = src.drop("_text").schema.simpleString()[7:-1].replace(":", " ") + ", d_pos long, h long, d_slots array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in regroup(batches):
+        for b in regroup(batches, 2 << 20):
             t = Templates(b.column("_text"))
             shown = np.ones(len(t.value), bool)  # the item knows which of them are slots
             for kind, k in sorts if len(t.value) else []:
