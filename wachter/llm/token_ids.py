@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wachter.llm.common import materialise, prefix_sum, regroup, tasks, utf8, work_path
+from wachter.llm.common import OTHER_LETTERS, Remembered, hash_runs, map_arrow, materialise, prefix_sum, regroup, tasks, text_hash, utf8
+from wachter.work import work_path
 
 END_ID = 2
-#: Tokenizers that one process keeps, and pieces that it remembers for each (about 60 MB).
+#: Tokenizers that one process keeps, and pieces that it remembers for each (about 40 MB).
 _TOKENIZERS, MOST_PIECES = 2, 400_000
 
 
@@ -53,7 +54,7 @@ class Pieces:
     """Ids of pieces. A process remembers the first of them that it meets, up to a bound, since most texts share them."""
 
     def __init__(self, path: str, most: int = MOST_PIECES):
-        self.path, self.most, self.at = path, most, {}
+        self.path, self.most, self.known = path, most, Remembered(20)
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,19 +65,20 @@ class Pieces:
             ids.append(np.fromiter((y for x in got for y in x), np.int32, sum(map(len, got))))
         return np.concatenate(ids), sizes
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, where each word's begin, their number) of distinct words."""
-        where = np.fromiter((self.at.get(w, -1) for w in words), np.int64, len(words))
+    def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each word's begin, their number) of distinct words, none of them empty."""
+        raw, at = utf8(words)
+        a, b = hash_runs(raw, np.diff(at)), hash_runs(raw, np.diff(at), OTHER_LETTERS)
+        where = self.known.find(a, b)
         lost = np.flatnonzero(where < 0)
-        new = [words[i] for i in lost]
-        flat, size = self._new(new)
-        where[lost] = len(self.begin) + np.arange(len(lost))
+        flat, size = self._new(words.take(pa.array(lost)).cast(pa.large_string()).to_pylist())
+        k = len(self.begin)
+        where[lost] = k + np.arange(len(lost))
         begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
-        room = max(0, min(len(new), self.most - len(self.at)))
+        room = max(0, min(len(lost), self.most - k))
         if room:
-            k = len(self.begin)
-            self.at.update(zip(new[:room], range(k, k + room), strict=True))
+            self.known.put(a[lost[:room]], b[lost[:room]], k + np.arange(room))
             end = int(begin[k + room - 1] + size[k + room - 1])
             self.flat, self.begin, self.size = flat[:end].copy(), begin[: k + room].copy(), size[: k + room].copy()
         return flat, begin[where], size[where]
@@ -97,7 +99,7 @@ def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(raw))])
     coded = pieces.dictionary_encode()
     which = coded.indices.to_numpy()
-    flat, begin, sizes = _pieces(path).encode(coded.dictionary.cast(pa.large_string()).to_pylist())
+    flat, begin, sizes = _pieces(path).encode(coded.dictionary)
     n = sizes[which]
     out = flat[np.repeat(begin[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
     ends = np.concatenate([[0], np.cumsum(n)])
@@ -125,15 +127,18 @@ def encode(documents: DataFrame, path: str | None = None, end_id: int = END_ID,
                 ids = pa.ListArray.from_arrays(pa.array((ends[i : j + 1] - ends[i]).astype(np.int32)), pa.array(full[ends[i] : ends[j]]))
                 yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in kept), ids, pa.array((n[i:j] + 1).astype(np.int64))], [*kept, "ids", "n_tokens"])
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def write_orc(documents: DataFrame, out: str, path: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
     """Encode and write in ascending id order (nulls first, ties by text_hash), range by range: each file holds a range of ids, so that stripe and
-    row-group statistics and Bloom filters prune look-ups, and stripes are read in parallel."""
+    row-group statistics and Bloom filters prune look-ups, and stripes are read in parallel. Beside the documents' other columns the files have
+    text_hash, ids and n_tokens (columns of these names are replaced). files: their number (that of the shuffle's partitions)."""
     spark = documents.sparkSession
-    hashed = documents.withColumn("text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    ordered = hashed.repartitionByRange(files or tasks(spark), F.col(id_col).asc_nulls_first()).sortWithinPartitions(F.col(id_col).asc_nulls_first(), "text_hash")
+    hashed = documents.withColumn("text_hash", text_hash(text_col))
+    by = [F.col(id_col).asc_nulls_first(), "text_hash"]
+    # rows of one id are split by their texts, and equal rows by where they come from
+    ordered = hashed.repartitionByRange(files or tasks(spark), *by, F.monotonically_increasing_id()).sortWithinPartitions(*by)
     (
         encode(ordered, path, end_id, id_col, text_col).write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", id_col).option("orc.bloom.filter.fpp", "0.01").option("orc.create.index", "true").option("orc.row.index.stride", "1000").option("orc.encoding.strategy", "COMPRESSION")
@@ -157,7 +162,7 @@ def crc32_of_ids(df: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> Dat
             crc = [zlib.crc32(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(crc, pa.int64())], [*kept, out])
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def digest(documents: DataFrame, path: str | None = None) -> DataFrame:
