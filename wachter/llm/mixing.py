@@ -13,10 +13,10 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wachter.llm.common import WORD, materialise
+from wachter.llm.common import WORD, as_rows, lookup, materialise
 
 MAX_REPEAT = 3
 #: Documents that one cell of the flight phase moves.
@@ -41,6 +41,11 @@ def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     return w.withColumn("target", F.least(F.col("_cap"), F.coalesce(F.col("weight") * F.col("_lam"), F.col("_cap")))).drop("_cap", "_k", "_lam")
 
 
+def size(text: str) -> Column:
+    """Words of a text; null: 0."""
+    return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+
+
 def _steps(p: np.ndarray, u: np.ndarray) -> np.ndarray:
     """How far p can go along u, row by row, with all of p in 0 to 1."""
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -98,7 +103,7 @@ def _cell(seed: int):
 def plan(documents: DataFrame, text_col: str = "text", cell: int = CELL, max_repeat: int = MAX_REPEAT, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, rows, source_size, target, repeats): how often each document is taken. Rows alike in id, source and size are
     one unit (rows: their number) and are taken equally often. Documents without words are units of size 0."""
-    own = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.expr(f"cast(regexp_count(coalesce({text_col}, ''), r'{WORD}') as bigint)").alias("size"))
+    own = documents.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), size(text_col).alias("size"))
     units = materialise(own.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "mix-units")
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
     rate = F.least(F.lit(float(max_repeat)), F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
@@ -128,10 +133,8 @@ def digest(documents: DataFrame) -> DataFrame:
 
 
 def mix(documents: DataFrame, text_col: str = "text") -> DataFrame:
-    """documents, each row as often as the plan takes it (not at all, up to three times)."""
-    cols = documents.columns
-    got = plan(documents, text_col).where("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_repeats"))
-    got = materialise(got, "mix-plan")
-    own = documents.withColumn("_n", F.expr(f"cast(regexp_count(coalesce({text_col}, ''), r'{WORD}') as bigint)"))
-    on = own["doc_id"].eqNullSafe(got["_id"]) & own["source"].eqNullSafe(got["_source"]) & (own["_n"] == got["_size"])
-    return own.join(got, on).withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats")))).select(*cols)
+    """documents, each row as often as the plan takes it (not at all, up to three times). Columns may have any names."""
+    got = materialise(plan(documents, text_col).where("repeats > 0").select("doc_id", "source", "size", "repeats"), "mix-plan")
+    rows = as_rows(documents)
+    on = F.col("row.doc_id").eqNullSafe(got["doc_id"]) & F.col("row.source").cast("string").eqNullSafe(got["source"]) & (size(f"row.{text_col}") == got["size"])
+    return rows.join(lookup(got), on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "repeats")).alias("k")).select("row.*")
