@@ -9,6 +9,8 @@ from wachter.config import merge_defaults
 from wachter.operators.hud import HudDetector
 from wachter.plans.export import export_session
 from wachter.plans.monitor import monitor
+from wachter.plans.watch import Watch
+from wachter.sources import SourceError
 from wachter.sources.store import Store
 from wachter.sources.synthetic import synthetic_frames
 
@@ -62,6 +64,31 @@ def test_cli(spark, session, tmp_path, capsys):
     assert main(["sessions", str(p)], spark) == 0 and sid in capsys.readouterr().out
 
 
+def test_watch(spark, session, tmp_path):
+    """Frames that come while the session runs give the events of the whole table."""
+    c, sid = session
+    store, every, folder = Store(spark, c["data_dir"]), spark.read.parquet(c["video_source"]["config"]["path"]), str(tmp_path / "growing")
+    more = lambda a, b: every.where(f"t >= {a} and t < {b}").coalesce(1).write.mode("append").parquet(folder)
+    live = merge_defaults({**c, "video_source": {"config": {"path": folder}}})
+    more(0, 3)
+    with pytest.raises(SourceError):
+        Watch(spark, live).start()
+    more(3, 6)
+    w = Watch(spark, live).start()
+    more(6, 13)
+    w.query.processAllAvailable()
+    w.live.query.processAllAvailable()
+    early = store.list_events(w.session_id).collect()
+    more(13, 24)
+    assert w.stop() in store.names()
+    key = lambda r: (r["anomaly_id"], r["start"], r["end"], round(r["max_intensity"], 9), round(r["threshold"], 9))
+    got, want = store.list_events(w.session_id).collect(), store.list_events(sid).collect()
+    assert [key(r) for r in got] == [key(r) for r in want] and {key(r) for r in early} <= {key(r) for r in got} and early
+    assert store.get_session(w.session_id).first()["status"] == "completed" and store.get_calibration(w.session_id).count() == 1
+    with pytest.raises(RuntimeError):
+        w.stop()
+
+
 def test_too_short_for_calibration(spark):
     f = synthetic_frames(spark, 10, 10.0).selectExpr("'s' as session_id", "*")
     el = HudDetector().elements(f)

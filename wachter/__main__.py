@@ -1,4 +1,4 @@
-"""python -m wachter monitor|export|sessions|synth ..."""
+"""python -m wachter monitor|watch|export|sessions|synth ..."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     m = sub.add_parser("monitor")
     m.add_argument("config")
     m.add_argument("--max-frames", type=int)
+    w = sub.add_parser("watch")
+    w.add_argument("config")
+    w.add_argument("--seconds", type=float, help="how long to watch (until interrupted)")
     e = sub.add_parser("export")
     e.add_argument("config")
     e.add_argument("--session", required=True)
@@ -29,6 +32,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     from wachter.operators.report import list_sessions
     from wachter.plans.export import export_session
     from wachter.plans.monitor import monitor
+    from wachter.plans.watch import Watch
     from wachter.sources import SourceError
     from wachter.sources.store import Store
     from wachter.sources.synthetic import DURATION, write_frames
@@ -37,6 +41,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         if a.do == "monitor":
             print(monitor(spark, load_config(a.config), a.max_frames))
+        elif a.do == "watch":
+            session = Watch(spark, load_config(a.config)).start(1.0)
+            try:
+                session.query.awaitTermination(a.seconds) if a.seconds is not None else session.query.awaitTermination()
+            except KeyboardInterrupt:
+                pass
+            print(session.stop())
         elif a.do == "export":
             print(export_session(spark, load_config(a.config), a.session, a.format, a.out))
         elif a.do == "sessions":

@@ -32,6 +32,12 @@ class Analysis:
     annotations: DataFrame
     readings: DataFrame
     events: DataFrame
+    held: list[DataFrame]
+
+    def release(self) -> None:
+        """Frees what was kept."""
+        for df in self.held:
+            df.unpersist()
 
 
 def build_detectors(config: dict) -> list[Detector]:
@@ -48,6 +54,13 @@ def analyse(frames: DataFrame, config: dict, detectors: list[Detector] | None =
     detectors = detectors if detectors is not None else build_detectors(config)
     before, after = split_phases(limit_frames(frames, max_frames), float(config["calibration"]["duration_seconds"]))
     thr, notes, meta, found = [], [], [], []
+    held: list[DataFrame] = []
+    stored = keep
+
+    def keep(df: DataFrame) -> DataFrame:
+        held.append(stored(df))
+        return held[-1]
+
     for d in detectors:
         c = d.calibrate(before)
         c = Calibration(keep(c.thresholds), keep(c.baseline), c.annotations, c.metadata)
@@ -65,8 +78,20 @@ def analyse(frames: DataFrame, config: dict, detectors: list[Detector] | None =
     snap = readings.select("session_id", "anomaly_id", "t", "regions").join(opened, ["session_id", "anomaly_id", "t"]).join(metadata, ["session_id", "anomaly_id"], "left")
     moved = F.when(F.col("anomaly_id").startswith("spatial/"), F.regexp_replace("metadata", r"\}$", "")).otherwise(None)
     snap = snap.withColumn("metadata", F.coalesce(F.concat(moved, F.lit(',"moved_points":'), F.size("regions"), F.lit("}")), "metadata"))
-    merged = union(notes).groupBy("session_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.expr("substring(annotations, 2, length(annotations) - 2)"))), ","), F.lit("}")).alias("annotations"))
-    return Analysis(thresholds, merged, readings, ev.enrich(events, snap))
+    return Analysis(thresholds, merged_notes(union(notes)), readings, ev.enrich(events, snap), held)
+
+
+def merged_notes(notes: DataFrame) -> DataFrame:
+    """One JSON object a session of the detectors' own."""
+    inner = F.expr("substring(annotations, 2, length(annotations) - 2)")
+    return notes.groupBy("session_id").agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(inner)), ","), F.lit("}")).alias("annotations"))
+
+
+def calibration_row(thresholds: DataFrame, notes: DataFrame) -> DataFrame:
+    """What is stored of a calibration: its thresholds by detector, its annotations, when it was done."""
+    by_detector = thresholds.groupBy("session_id", "detector").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_id", "threshold")))).alias("m"))
+    every = by_detector.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("detector", "m"))).alias("thresholds"))
+    return every.join(merged_notes(notes), "session_id").withColumn("completed_at", F.lit(time.time())).withColumn("media", F.lit(None).cast("string"))
 
 
 def gifs(clips: DataFrame, frames: DataFrame, events: DataFrame, fps: float, gif_fps: float) -> DataFrame:
@@ -139,9 +164,7 @@ def monitor(spark: SparkSession, config: dict, max_frames: int | None = None, me
         frames = frames.select(F.lit(sid).alias("session_id"), "*")
         got = analyse(frames, config, max_frames=max_frames)
         m = config["media"]
-        by_detector = got.thresholds.groupBy("session_id", "detector").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("anomaly_id", "threshold")))).alias("m"))
-        thresholds = by_detector.groupBy("session_id").agg(F.map_from_entries(F.collect_list(F.struct("detector", "m"))).alias("thresholds"))
-        cal = thresholds.join(got.annotations, "session_id").withColumn("completed_at", F.lit(time.time())).withColumn("media", F.lit(None).cast("string"))
+        cal = calibration_row(got.thresholds, got.annotations)
         events = got.events.withColumn("media", F.lit(None).cast("string"))
         if media:
             base = f"{config['data_dir'].rstrip('/')}/media"
@@ -155,4 +178,5 @@ def monitor(spark: SparkSession, config: dict, max_frames: int | None = None, me
         store.save_calibration(cal)
         store.save_events(events)
         store.finish_session(sid)
+        got.release()
     return sid

@@ -23,14 +23,17 @@ _STATE = "body string"
 
 
 class Signals:
-    """State of one session. Each signal: run (first and last raw time of its streak) and event (None, or the open one)."""
+    """State of one session. Each signal: run (first and last raw time of its streak) and event (None, or the open one). last: the time up to
+    which readings were taken; what comes again is passed over."""
 
     def __init__(self, rules: Rules, suppressors: dict[str, set[str]], body: str = "{}"):
         self.rules, self.suppressors = rules, suppressors
-        self.of: dict[str, dict[str, Any]] = json.loads(body)
+        state = json.loads(body)
+        self.of: dict[str, dict[str, Any]] = state.get("of", {})
+        self.last: float | None = state.get("last")
 
     def dump(self) -> str:
-        return json.dumps(self.of)
+        return json.dumps({"of": self.of, "last": self.last})
 
     def _grips(self, sup: str, t: float) -> bool:
         run = self.of.get(sup, {}).get("run")
@@ -40,6 +43,9 @@ class Signals:
 
     def step(self, t: float, readings: list[tuple[str, float, float, str]]) -> Iterator[dict]:
         """One time's readings (anomaly, intensity, threshold, detector); yields the events that it closes."""
+        if self.last is not None and t <= self.last:
+            return
+        self.last = t
         high = {a for a, v, limit, _ in readings if v >= limit}
         for a in high:
             mine = self.of.setdefault(a, {"run": None, "event": None})
