@@ -30,7 +30,7 @@ ORDER = 2
 #: Counts up to this are discounted.
 K = 5
 #: Tokens of a block at most, unless one text has more, and tokens whose distinct grams one partition takes on average.
-BLOCK_TOKENS, PART_TOKENS = 4_500_000, 2_000_000
+BLOCK_TOKENS, PART_TOKENS = 4_500_000, 1_200_000
 #: Partitions up to which a block's messages go straight to them, and bytes of a bundle.
 DIRECT, BUNDLE_BYTES = 2048, 16 << 20
 END = U64(0x454E44)
@@ -172,7 +172,7 @@ class Block:
         self.number, self.held, self.ids = row["block"], np.array(row["held"], bool), got.column("ids").combine_chunks().flatten()
         self.lens = np.array(row["lens"], np.int64)
         self.hash = np.frombuffer(row["vocab"], U64)
-        self.seq = _unpack(row["seq"])[0].astype(np.int64)
+        self.seq = _unpack(row["seq"])[0].astype(np.int32)
         self.first = np.cumsum(self.lens) - self.lens
         self.train = np.repeat(~self.held, self.lens)
         # of the current order: each token's gram; of each gram its key as a context, context (of the order before; -1: a text's start) and the
@@ -185,19 +185,23 @@ class Block:
         """Order 1 in numbers of words; all unknown words become one. Returns a row of the old order for each."""
         self.key, row, new = np.unique(numbers, return_index=True, return_inverse=True)
         self.words = self.word = self.key
-        self.seq = self.at = new[self.seq]
+        self.seq = self.at = new.astype(np.int32)[self.seq]
         return row
 
     def next_order(self) -> None:
-        before = np.concatenate([[-1], self.at[:-1]])
-        before[self.first] = -1
-        code = (before + 1) * len(self.words) + self.seq
+        code = np.zeros(len(self.at), np.int64)
+        code[1:] = self.at[:-1]
+        code[1:] += 1
+        code[self.first] = 0  # a text's start
+        code *= len(self.words)
+        code += self.seq
         grams, one, at = np.unique(code, return_index=True, return_inverse=True)
+        del code
         self.context, word = grams // len(self.words) - 1, grams % len(self.words)
         self.word = self.words[word]
         self.context_key = np.where(self.context < 0, U64(BOS), self.key[self.context])
         self.shorter = self.at[one]
-        self.key, self.at = mix(self.context_key * M1 + self.word + GOLD), at
+        self.key, self.at = mix(self.context_key * M1 + self.word + GOLD), at.astype(np.int32)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.at[self.train], minlength=int(self.at.max()) + 1 if len(self.at) else 0)
@@ -553,9 +557,9 @@ def _run(documents: DataFrame, held_out: Column, order: int, stored: Model | Non
         b, add = Block(left), lambda x: np.add.reduceat(x, b.first)
         for k, p, count in light.walk(b, _by_part(right)):
             if k == 1:
-                base, known = np.log10((count + 0.5) / (total + 0.5 * (types + 1)))[b.seq], (count > 0)[b.seq].astype(np.int64)
-        columns = {"id": b.ids, "held_out": pa.array(b.held), "n_tokens": pa.array(b.lens), "n_known": pa.array(add(known)), "train_tokens": pa.array(np.full(len(b.lens), int(total)))}
-        return pa.table(columns | {"base_score": pa.array(add(base)), "score": pa.array(add(np.log10(p)[b.at]))})
+                base, known = add(np.log10((count + 0.5) / (total + 0.5 * (types + 1)))[b.seq]), add((count > 0).astype(np.int64)[b.seq])
+        columns = {"id": b.ids, "held_out": pa.array(b.held), "n_tokens": pa.array(b.lens), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(b.lens), int(total)))}
+        return pa.table(columns | {"base_score": pa.array(base), "score": pa.array(add(np.log10(p)[b.at]))})
 
     schema = StructType([StructField("id", own.schema["ids"].dataType.elementType), *spark.createDataFrame([], "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").schema.fields])
     return own.groupBy("block").cogroup(_replies(tables, n)).applyInArrow(last, schema), model
