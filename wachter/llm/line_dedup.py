@@ -172,10 +172,10 @@ def edited(documents: DataFrame, min_words: int = MIN_WORDS, text_col: str = "te
 
     small_batches(documents.sparkSession)
     gone = materialise(repeated_runs(documents, min_words, text_col).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "runs"), "lines-gone")
-    few = (gone.agg(F.sum(F.size("runs"))).first()[0] or 0) <= 1_000_000  # the rows' lists are what a broadcast would hold
     text = F.col(f"row.{text_col}")
     named = F.col("row.doc_id").eqNullSafe(F.col("d")) & (text_hash(text) == F.col("t"))
-    both = as_rows(documents).join(lookup(gone) if few else gone.hint("shuffle_hash"), named, "left")
+    # most documents lose lines, so both sides are dealt out, at every size; only the deletions are built into tables, and texts aren't sorted
+    both = as_rows(documents).join(gone.hint("shuffle_hash"), named, "left")
     # only texts that lose lines go to Python
     left = F.coalesce(F.arrow_udf(cut, "string")(F.when(F.col("runs").isNotNull(), text.cast("string")), F.col("runs")), text.cast("string"))
     known = F.coalesce(text.cast("string"), F.lit(""))
