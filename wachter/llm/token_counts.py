@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,25 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wachter.llm.common import map_arrow, regroup, utf8
-from wachter.llm.token_ids import default_tokenizer, encode_column
+from wachter.llm.token_ids import byte_lengths, default_tokenizer, encode_column
 
 #: How a token that crosses a boundary is allotted: to the section of its first or last byte, or to the one with most of its bytes (of
 #: equals the first).
 RULES = ("start", "end", "overlap")
 
 
-@lru_cache(2)
-def byte_lengths(path: str) -> np.ndarray:
-    """Bytes of each id of a byte-level BPE, whose vocabulary writes each byte as one character. Ids of one text have spans that tile it."""
-    with open(path, encoding="utf8") as f:
-        model = json.load(f)
-    vocab = model["model"]["vocab"] | {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-    out = np.zeros(max(vocab.values()) + 1, np.int64)
-    for token, i in vocab.items():
-        out[i] = len(token)
-    return out
-
-
 def line_sections(text: Column) -> Column:
     """Sections of a text by lines: first_line (with its line feed), body, last_line; a text of one line is all first_line. Characters, end excluded."""
     n, one = F.length(text), F.instr(text, "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +23,7 @@ _TOKENIZERS, MOST_PIECES = 2, 400_000
 
 @lru_cache(_TOKENIZERS)
 def tokenizer(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -34,17 +37,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(2)
+def byte_lengths(path: str) -> np.ndarray:
+    """Bytes of each id of a byte-level BPE, whose vocabulary writes each byte as one character. Ids of one text have spans that tile it."""
+    with open(path, encoding="utf8") as f:
+        model = json.load(f)
+    vocab = model["model"]["vocab"] | {t["content"]: t["id"] for t in model.get("added_tokens", [])}
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    return out
+
+
+def _solid(raw: np.ndarray) -> np.ndarray:
+    """Bytes that surely end no white space."""
+    out = (raw > 0x20) & (raw < 0x7F)
+    out[1:] |= (raw[1:] >= 0x80) & (raw[1:] < 0xC0) & (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xDF)
+    return out
+
+
 def cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Byte positions at which texts can be cut without changing a byte-level BPE's ids: before a space or line feed that follows a byte
     which surely ends no white space (printable ASCII, or a two-byte letter from U+00C0 on), and at each text's start. There the
     pre-tokenizer's pattern always begins a new piece, and no part of it looks back."""
     ok = np.zeros(len(raw), bool)
-    if len(raw) > 1:
-        prev = raw[:-1]
-        ascii_ = (prev > 0x20) & (prev < 0x7F)
-        two = np.zeros(len(prev), bool)
-        two[1:] = (prev[1:] >= 0x80) & (prev[1:] < 0xC0) & (prev[:-1] >= 0xC3) & (prev[:-1] <= 0xDF)
-        ok[1:] = ((raw[1:] == 0x20) | (raw[1:] == 0x0A)) & (ascii_ | two)
+    ok[1:] = ((raw[1:] == 0x20) | (raw[1:] == 0x0A)) & _solid(raw)[:-1]
     begins = at[:-1][at[:-1] < at[1:]]
     ok[begins] = True
     return np.append(np.flatnonzero(ok), len(raw))
@@ -57,13 +74,39 @@ class Pieces:
         self.path, self.most, self.known = path, most, Remembered(20)
         self.flat, self.begin, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        t, ids, sizes = tokenizer(self.path), [np.zeros(0, np.int32)], np.empty(len(words), np.int64)
-        for i in range(0, len(words), 20_000):
-            got = [e.ids for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
-            sizes[i : i + len(got)] = [len(x) for x in got]
-            ids.append(np.fromiter((y for x in got for y in x), np.int32, sum(map(len, got))))
-        return np.concatenate(ids), sizes
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, their number by word). Words that begin and end like pieces between two cuts are encoded in long rows, since the
+        tokenizer cuts there too; the ids' bytes tell the words apart."""
+        raw, at = utf8(words)
+        size = np.diff(at)
+        plain = np.flatnonzero(((raw[at[:-1]] == 0x20) | (raw[at[:-1]] == 0x0A)) & _solid(raw)[at[1:] - 1]) if len(raw) else np.zeros(0, np.int64)
+        odd = np.ones(len(words), bool)
+        t, sizes, rows, ids = tokenizer(self.path), np.zeros(len(words), np.int64), [], []
+        for i in range(0, len(plain), 4000):
+            own = plain[i : i + 4000]
+            text = b"".join(words.take(pa.array(own)).to_pylist()).decode()
+            got = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+            ends, want = np.cumsum(byte_lengths(self.path)[got]), np.cumsum(size[own])
+            last = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[np.minimum(last, len(ends) - 1)] == want).all():
+                sizes[own], odd[own] = np.diff(last + 1, prepend=0), False
+                rows.append(own)
+                ids.append(got)
+        odd = np.flatnonzero(odd)
+        for i in range(0, len(odd), 20_000):
+            own = odd[i : i + 20_000]
+            got = [e.ids for e in t.encode_batch_fast(words.take(pa.array(own)).cast(pa.large_string()).to_pylist(), add_special_tokens=False)]
+            sizes[own] = [len(x) for x in got]
+            rows.append(own)
+            ids.append(np.fromiter((y for x in got for y in x), np.int32, int(sizes[own].sum())))
+        if not rows:
+            return np.zeros(0, np.int32), sizes
+        # from the order of encoding to that of the words
+        order, flat = np.concatenate(rows), np.concatenate(ids)
+        n = sizes[order]
+        begin = np.empty(len(words), np.int64)
+        begin[order] = np.cumsum(n) - n
+        return flat[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))], sizes
 
     def encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, where each word's begin, their number) of distinct words, none of them empty."""
@@ -71,7 +114,7 @@ class Pieces:
         a, b = hash_runs(raw, np.diff(at)), hash_runs(raw, np.diff(at), OTHER_LETTERS)
         where = self.known.find(a, b)
         lost = np.flatnonzero(where < 0)
-        flat, size = self._new(words.take(pa.array(lost)).cast(pa.large_string()).to_pylist())
+        flat, size = self._new(words.take(pa.array(lost)))
         k = len(self.begin)
         where[lost] = k + np.arange(len(lost))
         begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
