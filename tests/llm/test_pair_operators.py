@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wachter.llm import embedding_neardup, jaccard_join, warc_fixity
+from wachter.llm import common, embedding_neardup, jaccard_join, warc_fixity
 from wachter.llm.common import components, forest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -136,6 +136,49 @@ def test_shared_pivots():
             assert enough[i, j] == (i != j and len(both) >= 2) and earlier[i, j] == (enough[i, j] and min(both) < 5)
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64])
+def test_embedding_cells(spark, monkeypatch, kind):
+    """A list of usual length is dealt once; lists of many blocks give the same. At the threshold the
+    cosine in double precision decides."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 16)).astype(kind)
+    x = np.concatenate([x, x[:150] + rng.normal(size=(150, 16)) * 0.05, x[:1] + rng.normal(size=(200, 16)) * 0.1])
+    x = np.concatenate([x, x[:100] + rng.normal(size=(100, 16)) * 0.4]).astype(kind).astype(float)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = u @ u.T
+    np.fill_diagonal(cosine, -1)
+    threshold = float(np.sort(cosine[cosine > 0.8])[1000]) + 1e-12  # a pair just below it, others within a float's error
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    top = groups(range(len(x)), np.argwhere(np.triu(cosine >= threshold)).tolist())
+    want = [(i, int((cosine[i] >= threshold).sum()), top[i]) for i in range(len(x))]
+    dealt = []
+
+    def block_pairs(*args):
+        dealt.append(common.block_pairs(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(embedding_neardup, "block_pairs", block_pairs)
+
+    def run(**more):
+        return sorted((r["id"], r["n_links"], r["component"]) for r in embedding_neardup.near_duplicates(df, threshold=threshold, **more).collect())
+
+    assert run(few=10_000) == want
+    assert dealt[0].count() == len(x)
+    pivoted = run(few=100)
+    assert dealt[1].count() == 10 * len(x)
+    for block in (400, 60):
+        monkeypatch.setattr(embedding_neardup, "BLOCK", block)
+        assert run(few=10_000) == want
+        assert run(few=100) == pivoted
+
+
+def test_nearest_pivots():
+    rng = np.random.default_rng(6)
+    near = rng.integers(0, 12, (300, 40)) / 11.0  # many ties
+    for k in (1, 10, 40):
+        assert (embedding_neardup.nearest_pivots(near, k) == np.argsort(-near, 1, kind="stable")[:, :k]).all()
+
+
 def test_forest_and_components(spark):
     link = np.zeros((6, 6), bool)
     for a, b in ((0, 1), (1, 4), (2, 3), (3, 4)):
